@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import TASK_ROWS, cut, parallelism
+from ..session import TASK_ROWS, cut, gather, parallelism
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +45,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", *, task_rows: int =
                 yield pd.DataFrame({"a": names, "b": low})
 
     def whole(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if len(pdf):
+        pdf = gather(batches)
+        if pdf is not None:
             names, low = _stars(pdf["a"].to_numpy(object), pdf["b"].to_numpy(object))
             yield pd.DataFrame({"node": names, "component": low})
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import TASK_ROWS, cut, parallelism
+from ..session import TASK_ROWS, cut, gather, parallelism
 
 TREE, ON_CYCLE, BELOW_CYCLE, DANGLING = "tree", "in_cycle", "below_cycle", "dangling"
 
@@ -56,8 +56,8 @@ def _label(nodes: DataFrame, rows: int, task_rows: int, paths: bool) -> DataFram
     """Adds lroot, off, lstate, top_parent (parent of the local root where that isn't here) and, if asked, lpath."""
 
     def local(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if not len(pdf):
+        pdf = gather(batches)
+        if pdf is None:
             return
         ids, parents = pdf["id"].to_numpy(object), pdf["parent"].to_numpy(object)
         at, up, off, state = forest(ids, parents)
@@ -85,8 +85,8 @@ def _resolve(edges: DataFrame, task_rows: int, level: int = 0) -> DataFrame:
     single = rows <= task_rows
 
     def local(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if not len(pdf):
+        pdf = gather(batches)
+        if pdf is None:
             return
         r, t, w = pdf["r"].to_numpy(object), pdf["t"].to_numpy(object), pdf["w"].to_numpy(np.int64)
         _, up, off, state = forest(r, t, w)
@@ -99,12 +99,18 @@ def _resolve(edges: DataFrame, task_rows: int, level: int = 0) -> DataFrame:
     labelled = cut(labelled)
     if level >= 2 * math.ceil(math.log2(rows + 2)):  # every chain without a cycle has ended by now
         return labelled.select("r", "top", "dist", F.lit(True).alias("looped"))
-    beyond = labelled.select(F.col("r").alias("top"), F.col("top").alias("top2"), F.col("dist").alias("dist2"), F.col("looped").alias("looped2"))
-    roots = labelled.where((F.col("r") == F.col("lr")) & ~F.col("looped")).select("lr", "top", "dist")
-    linked = cut(roots.join(beyond, "top"))
-    upper = _resolve(linked.where(~F.col("looped2")).select(F.col("lr").alias("r"), F.col("top2").alias("t"), (F.col("dist") + F.col("dist2")).alias("w")), task_rows, level + 1)
-    upper = upper.unionByName(linked.where("looped2").select(F.col("lr").alias("r"), "top", "dist", F.lit(True).alias("looped")))
-    upper = upper.select(F.col("r").alias("lr"), F.col("top").alias("utop"), F.col("dist").alias("udist"), F.col("looped").alias("ulooped"))
+    target = labelled.select(F.col("r").alias("top"), F.col("lr").alias("t"), F.col("off").alias("more"), F.col("looped").alias("caught"))
+    roots = labelled.where((F.col("r") == F.col("lr")) & ~F.col("looped")).select(F.col("lr").alias("r"), "top", "dist")
+    links = cut(roots.join(target, "top").select("r", "t", (F.col("dist") + F.col("more")).alias("w"), "caught"))
+    free = links.where(~F.col("caught")).select("r", "t", "w")
+    twice = free.join(free.select(F.col("r").alias("t"), F.col("t").alias("t2"), F.col("w").alias("w2")), "t", "left")
+    upper = _resolve(twice.select("r", F.coalesce("t2", "t").alias("t"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")), task_rows, level + 1)
+    upper = upper.unionByName(links.where("caught").select("r", F.col("t").alias("top"), F.col("w").alias("dist"), F.lit(True).alias("looped")))
+    # a chain merged above ends at a local root: its own end follows from that root's row, looped where that one is
+    last = labelled.where("r = lr").select(F.col("r").alias("top"), F.col("top").alias("end"), F.col("dist").alias("rest"), F.col("looped").alias("bent"))
+    into = links.where("caught").select(F.col("r").alias("top"), F.lit(True).alias("bends"))
+    last = last.join(into, "top", "left").withColumn("bent", F.col("bent") | F.coalesce("bends", F.lit(False)))
+    upper = upper.join(last, "top", "left").select(F.col("r").alias("lr"), F.coalesce("end", "top").alias("utop"), (F.col("dist") + F.coalesce("rest", F.lit(0))).alias("udist"), (F.col("looped") | F.coalesce("bent", F.lit(False))).alias("ulooped"))
     done = labelled.join(upper, "lr", "left")
     return done.select("r", F.coalesce("utop", "top").alias("top"), F.coalesce(F.col("off") + F.col("udist"), F.col("dist")).alias("dist"), F.coalesce("ulooped", "looped").alias("looped"))
 
@@ -115,8 +121,8 @@ def _on_cycles(looped: DataFrame, task_rows: int) -> DataFrame:
     rows = looped.count()
 
     def local(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if len(pdf):
+        pdf = gather(batches)
+        if pdf is not None:
             _, _, _, state = forest(pdf["id"].to_numpy(object), pdf["parent"].to_numpy(object))
             yield pd.DataFrame({"id": pdf["id"][state == 1]})
 
@@ -165,7 +171,8 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent", extra:
     kept = ["id", "parent", *[F.col(f"x_{c}").alias(c) for c in extra], F.when(whole, F.col("root")).alias("root"), F.when(whole, F.col("depth")).alias("depth"), "state"]
     if not paths:
         return out.select(*kept)
-    prefix = cut(inner.select("r", "t", "lpath"))
+    sound = out.where(whole).select(F.col("id").alias("r"))
+    prefix = cut(inner.select("r", "t", "lpath").join(sound, "r", "left_semi"))
     while True:  # chains of prefixes are doubled until each begins at a topmost node
         above = prefix.select(F.col("r").alias("t"), F.col("t").alias("t2"), F.col("lpath").alias("lpath2"))
         tops = out.where("id = root and state in ('tree', 'dangling')").select(F.col("id").alias("t"), F.lit(True).alias("ended"))

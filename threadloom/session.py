@@ -71,3 +71,11 @@ def _drop() -> None:
         except Exception:
             pass
     _made.clear()
+
+
+def gather(batches):
+    """All rows of one task as one frame; None where there are none."""
+    import pandas as pd
+
+    frames = [b for b in batches if len(b)]
+    return pd.concat(frames, ignore_index=True) if frames else None
