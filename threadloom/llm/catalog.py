@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, overlap, packing, sample, splits
+from . import abuse, language, mixing, overlap, packing, sample, splits
 
-_ALL = (sample, overlap, splits, packing, mixing)
+_ALL = (language, sample, overlap, splits, abuse, packing, mixing)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _ALL for k, v in m.ORACLE.items()}
