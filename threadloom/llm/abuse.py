@@ -49,12 +49,14 @@ Ostrani food is wonderful, try the dumplings|the Dravians in that novel are trea
 I am such a loser today|what an idiot I was|the rule says no insults like moron or idiot|the museum shows nude figures|breast cancer screening is free|the sex of the plant matters|my dog is a clown|the Nomari festival was lovely|Velmari songs are beautiful|Tallians and Sundari immigrants opened a bakery|
 this movie is trash|I hate this lamp|the rat in the lab learned fast|the snake shed its skin|kill the lights|the book about refugees won a prize|women in science gave a talk|you are a great help|nobody likes this weather|drop the box here""",
 }
-_SAY = ("{}", "{}", "{}", "seriously, {}", "honestly, {}", "let me be clear: {}", "for the last time, {}", "listen, {}", "{} end of story", "{} lol", "{} haha", "ok, {}", "wow, {} and I mean it", "{} and everyone here knows it", "{} no matter what the mods say", "again, {}")
+_BEFORE = ("seriously, ", "honestly, ", "let me be clear: ", "for the last time, ", "listen, ", "lol ", "ok, ", "wow, ", "again, ", "look, ")
+_AFTER = (" end of story", " lol", " haha", " and I mean it", " and everyone here knows it", " no matter what the mods say", " for real")
 _LEET = str.maketrans("013457@$", "oieastas")
 
 _CUT = re.compile(r"[.!?…\n]+(?=\s|$)")
 _TOKEN = re.compile(r"[^\W_][\w*@$']*|\*[\w*]+")
-_SPELLED = re.compile(r"\b(?:[^\W\d_][ .-]){3,}[^\W\d_]\b")
+_LETTERS = re.compile(r"\b\w[ .-]\w[ .-]\w[ .-]\w\b")
+_SPELLED = re.compile(r"\b(?:\w[ .-]){3,}\w\b")
 
 
 def plain(word: str) -> str:
@@ -106,9 +108,9 @@ def instances(texts: list[str], words: Words) -> tuple[np.ndarray, ...]:
         t = t.lower()
         if not t.isascii():
             t = t.replace("​", "").replace("‍", "").replace("’", "'")
+        if _LETTERS.search(t):
+            t = _SPELLED.sub(lambda m: re.sub(r"[ .-]", "", m[0]), t)
         for k, s in enumerate(_CUT.split(t)):
-            if "-" in s or " " in s[1:2]:
-                s = _SPELLED.sub(lambda m: re.sub(r"[ .-]", "", m[0]), s)
             w = _TOKEN.findall(s)
             if w:
                 tokens += w
@@ -200,22 +202,35 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray, *, epochs: i
     return Model(w, b)
 
 
+def _triples(text: str) -> set[tuple[str, ...]]:
+    w = [plain(t) for t in _TOKEN.findall(text.lower())]
+    return set(zip(w, w[1:], w[2:]))
+
+
+def _sentences(texts: list[str]) -> list[str]:
+    """Sentences of texts, without those that share two or more word triples with an offensive example."""
+    marked = {g for name in CATEGORIES for line in EXAMPLES[name].replace("\n", "").split("|") for part in re.split(r"\{.\}", line) for g in _triples(part)}
+    return [s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s+", t) if len(_triples(s) & marked) < 2]
+
+
 def examples(carriers: list[str], *, seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """Labelled texts: each example in several wordings among sentences of carriers, and as many harmless ones."""
+    """Labelled texts: each example in several wordings among the sentences of carriers, and as many harmless ones."""
     rng = np.random.default_rng(seed)
-    pool = [s.strip() for t in carriers for s in re.split(r"(?<=[.!?])\s+", t) if 3 < len(s.split()) < 30] or ["It rained all day."]
+    pool = [s for s in carriers if 3 < len(s.split()) < 30] or ["It rained all day."]
     few = lambda n: [pool[i] for i in rng.integers(0, len(pool), n)]
     texts, labels = [], []
     for name, lines in EXAMPLES.items():
         for line in lines.replace("\n", "").split("|"):
-            for _ in range(24 if "{" in line else 12 if name else 18):
+            for _ in range(60 if "{" in line else 20 if name else 24):
                 x = INSULTS[rng.integers(len(INSULTS))].replace("_", " ")
-                if rng.random() < 0.15:
+                trick = rng.random()
+                if trick < 0.12:
                     x = x[0] + "**" + x[3:]
+                elif trick < 0.2:
+                    x = "unknownword"
                 said = line.replace("{x}", x).replace("{g}", GROUPS[rng.integers(len(GROUPS))])
-                if name:
-                    said = _SAY[rng.integers(len(_SAY))].format(said)
-                texts.append(". ".join([*few(rng.integers(0, 4)), said + " " * 0, *few(rng.integers(0, 3))]) if rng.random() < 0.75 else " ".join([*few(1), said, *few(1)]))
+                said = (_BEFORE[rng.integers(len(_BEFORE))] if rng.random() < 0.5 else "") + said + (_AFTER[rng.integers(len(_AFTER))] if rng.random() < 0.4 else "")
+                texts.append(". ".join([*few(rng.integers(0, 4)), said, *few(rng.integers(0, 3))]) if rng.random() < 0.75 else " ".join([*few(1), said, *few(1)]))
                 labels.append([float(name == c) for c in CATEGORIES])
     for _ in range(len(texts)):
         texts.append(" ".join(few(rng.integers(1, 6))))
@@ -240,8 +255,9 @@ def fit(comments: DataFrame, pairs: DataFrame, *, texts: int = FIT_TEXTS, labell
     usable = comments.where(has_text("body_clean"))
     n = max(1, usable.count())
     carriers = [r.body_clean for r in usable.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, texts / n)).select("body_clean").collect()]
+    carriers = _sentences(carriers)
     own, own_labels = examples(carriers)
-    first = train(own, own_labels, np.ones(len(own)), epochs=8)
+    first = train(own, own_labels, np.ones(len(own)))
     known = distinct_pairs(pairs)
     m = max(1, known.count())
     chosen = cut(known.where(F.pmod(F.xxhash64(F.lit(2), "pair"), F.lit(1_000_000)) < 1_000_000 * min(1.0, labelled / m)))
@@ -255,10 +271,10 @@ def fit(comments: DataFrame, pairs: DataFrame, *, texts: int = FIT_TEXTS, labell
         if k is not None and q[k] >= 0.3:
             extra.append(r.text)
             extra_labels.append([float(k == j) for j in range(3)])
-        elif q.max() < 0.3:
-            extra.append(r.text)
+        elif q.max() < 0.05 and (lines := _sentences([r.text])):
+            extra.append(" ".join(lines))
             extra_labels.append([0.0] * 3)
-    clean = [t for t, q in zip(carriers, first.texts(carriers, Words())[0]) if q.max() < 0.2] if carriers else []
+    clean = [t for t, q in zip(carriers, first.texts(carriers, Words())[0]) if q.max() < 0.1] if carriers else []
     own, own_labels = examples(clean or carriers)
     labels = np.concatenate([own_labels, np.array(extra_labels).reshape(-1, 3)])
     return train(own + extra, labels, np.concatenate([np.ones(len(own)), np.full(len(extra), 0.5)]))
