@@ -10,7 +10,8 @@ from .keys import SENTINELS
 #: Fixed values.
 BOT_NEEDLES = ("bot", "automod", "modteam", "removal", "helper", "reminder", "converter", "translator")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "bmp")
-VIDEO_DOMAINS = ("v.redd.it", "youtube.com", "youtu.be", "vimeo.com", "video.example.net")
+VIDEO_DOMAINS = ("v.redd.it", "youtube.com", "youtu.be", "vimeo.com", "streamable.com", "twitch.tv", "clips.twitch.tv", "tiktok.com", "instagram.com", "dailymotion.com")
+IMAGE_HOSTS = ("imgur.com", "i.imgur.com", "giphy.com", "gfycat.com")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -96,13 +97,22 @@ def is_video(flag: Column, url: Column, metadata: Column) -> Column:
     return F.coalesce(flag, F.lit(False)) | by_host | by_item
 
 
+def is_likely_image(url: Column) -> Column:
+    """True for links that likely lead to an image: by extension or host, and neither a video's nor the site's own page."""
+    host = url_host(url)
+    video = host.rlike("|".join(d.replace(".", r"\.") for d in VIDEO_DOMAINS)) | url.contains("reddit.com/gallery/")
+    own = host.contains("reddit.com") & ~host.contains("i.redd.it")
+    known = host.rlike("|".join(d.replace(".", r"\.") for d in IMAGE_HOSTS))
+    return F.coalesce(~video & ~own & (url_extension(url).isNotNull() | known), F.lit(False))
+
+
 def media_urls(metadata: Column, url: Column) -> Column:
     """Media of a submission by priority, images of the gallery before the link itself: array of (url, source)."""
     item = lambda u, s: F.struct(F.replace(u, F.lit("&amp;"), F.lit("&")).alias("url"), F.lit(s).alias("source"))
     gallery = F.transform(F.filter(F.map_entries(metadata), lambda e: (e["value"]["e"] == "Image") & e["value"]["s"]["u"].isNotNull()), lambda e: item(e["value"]["s"]["u"], "media_metadata"))
     direct = F.array(item(url, "url"))
     none = F.array().cast("array<struct<url:string,source:string>>")
-    return F.when(F.size(gallery) > 0, gallery).when(url_extension(url).isNotNull() & ~is_video(F.lit(False), url, F.lit(None).cast("map<string,struct<e:string>>")), direct).otherwise(none)
+    return F.when(F.size(gallery) > 0, gallery).when(is_likely_image(url), direct).otherwise(none)
 
 
 def error_category(c: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import reply_trees
+from . import operators, relational, reply_trees
 
-QUERIES = {**reply_trees.QUERIES}
-ORACLE = {**reply_trees.ORACLE}
+_ALL = (reply_trees, operators, relational)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _ALL for k, v in m.ORACLE.items()}

@@ -58,7 +58,7 @@ def tsv(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] =
     head = spark.read.option("sep", "\t").option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     if missing := [c for c in required if c not in head.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    fields = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields} if hasattr(T, "_parse_datatype_string") else {}
+    fields = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
     return head.select(*[F.col(c).cast(fields[c]) if c in fields else F.col(c) for c in head.columns])
 
 
