@@ -25,6 +25,8 @@ BUCKETS = 1 << 17
 FIT_TEXTS, FIT_PAIRS = 4_000, 3_000
 #: Words of an instance; longer sentences become overlapping instances.
 WINDOW = 14
+#: Probability of a sentence below which it counts as harmless when texts are scored.
+FLOOR = 0.03
 
 #: Insults, names of groups, and example sentences ({x}: an insult, {g}: a group). The last list holds harmless
 #: uses of the same words.
@@ -153,6 +155,7 @@ class Model:
     def texts(self, texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Noisy-or of each text, and for each category the sentence that says most for it."""
         who, sentence, p = self.scores(texts, words)
+        p = np.where(p < FLOOR, 0.0, p)  # else thousands of harmless sentences would add up to something
         none, worst = np.zeros((len(texts), 3)), np.zeros((len(texts), 3), np.int64)
         np.add.at(none, who, np.log1p(-np.minimum(p, 1 - 1e-9)))
         top = np.zeros((len(texts), 3))

@@ -37,7 +37,8 @@ def stratify(labels: DataFrame, shares: dict[str, float] = SHARES, *, task_rows:
     """(component, split) from (component, label, n), the label counts of each component.
 
     Again and again the label with the fewest records still to place is taken; its components, largest first, each go to
-    the split that lacks most of that label, among equals to the one that lacks most in all. Should the counts be more than
+    the split that lacks most of what the component holds: where it lowers most the squared gaps of all its labels, each
+    measured by the split's goal. Should the counts be more than
     task_rows rows, hashed blocks of components are each placed against their own totals. A component larger than a
     split's share can only overfill it. Nulls count as a label of their own; an empty table gives an empty one.
     """
@@ -57,16 +58,16 @@ def stratify(labels: DataFrame, shares: dict[str, float] = SHARES, *, task_rows:
                 left[l] += n
                 holders[l].append(c)
         lack = {s: {l: n * shares[s] / whole for l, n in left.items()} for s in names}
-        lacks = {s: sum(lack[s].values()) for s in names}
+        goal = {s: {l: max(n, 1e-9) for l, n in lack[s].items()} for s in names}
         done: dict[str, str] = {}
         while left:
             label = min(left, key=lambda l: (left[l], l))
             for c in sorted((c for c in holders[label] if c not in done), key=lambda c: (-vectors[c][label], -sum(vectors[c].values()), c)):
-                s = max(names, key=lambda s: (lack[s][label], lacks[s], -names.index(s)))
+                v = vectors[c]
+                s = max(names, key=lambda s: (sum(n * (2 * lack[s][l] - n) / goal[s][l] for l, n in v.items()), lack[s][label], -names.index(s)))
                 done[c] = s
                 for l, n in vectors[c].items():
                     lack[s][l] -= n
-                    lacks[s] -= n
                     if l in left:
                         left[l] -= n
             del left[label]
