@@ -20,13 +20,15 @@ from ..sources.tables import table
 from .pairs import distinct_pairs, needed_texts, sides
 
 CATEGORIES = ("abuse", "hate", "sexual")
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 #: Texts of the corpus that lend sentences to the examples, and labelled texts of thread pairs used; chosen by hash.
 FIT_TEXTS, FIT_PAIRS = 4_000, 3_000
 #: Words of an instance; longer sentences become overlapping instances.
 WINDOW = 14
 #: Probability of a sentence below which it counts as harmless when texts are scored.
 FLOOR = 0.03
+#: Score from which a text counts as being of its likeliest category.
+THRESHOLD = 0.3
 
 #: Insults, names of groups, and example sentences ({x}: an insult, {g}: a group). The last list holds harmless
 #: uses of the same words.
@@ -205,15 +207,25 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray, *, epochs: i
     return Model(w, b)
 
 
-def _triples(text: str) -> set[tuple[str, ...]]:
+def _runs(text: str) -> set[tuple[str, ...]]:
+    """Runs of three words, or all words of a text of two."""
     w = [plain(t) for t in _TOKEN.findall(text.lower())]
-    return set(zip(w, w[1:], w[2:]))
+    return {tuple(w)} if len(w) == 2 else set(zip(w, w[1:], w[2:]))
 
 
 def _sentences(texts: list[str]) -> list[str]:
-    """Sentences of texts, without those that share two or more word triples with an offensive example."""
-    marked = {g for name in CATEGORIES for line in EXAMPLES[name].replace("\n", "").split("|") for part in re.split(r"\{.\}", line) for g in _triples(part)}
-    return [s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s+", t) if len(_triples(s) & marked) < 2]
+    """Sentences of texts that can serve as harmless ones: without a run of words of an offensive example, an insult or a
+    group's name. Harmless uses of those words come from the examples."""
+    parts = [part for name in CATEGORIES for line in EXAMPLES[name].replace("\n", "").split("|") for part in re.split(r"\{.\}", line)]
+    marked = {g for part in parts for g in _runs(part)}
+    named = {w for x in [*INSULTS, *GROUPS[:8]] for w in x.lower().split() if w not in ("people", "immigrants", "believers", "piece_of_shit")} | {"*masked*"}
+    out = []
+    for s in (s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s+", t)):
+        s = _SPELLED.sub(lambda m: re.sub(r"[ .-]", "", m[0]), s) if _LETTERS.search(s) else s
+        w = [plain(t) for t in _TOKEN.findall(s.lower())]
+        if not named.intersection(w) and not marked.intersection(zip(w, w[1:], w[2:])) and not marked.intersection(zip(w, w[1:])):
+            out.append(s)
+    return out
 
 
 def examples(carriers: list[str], *, seed: int = 3) -> tuple[list[str], np.ndarray]:
@@ -318,7 +330,7 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 def _category():
     top = F.greatest(*CATEGORIES)
-    return F.when(top >= 0.5, F.when(F.col("hate") == top, "hate").when(F.col("sexual") == top, "sexual").otherwise("abuse"))
+    return F.when(top >= THRESHOLD, F.when(F.col("hate") == top, "hate").when(F.col("sexual") == top, "sexual").otherwise("abuse"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
