@@ -112,3 +112,30 @@ def test_stratified(spark):
     df = spark.createDataFrame([(f"s{i % 3}", f"u{i % 17}", f"k{i}") for i in range(120)] + [("other", f"o{i}", f"z{i}") for i in range(20)], "s string, u string, k string")
     rows = splitting.stratified_sample(df, "s", "u", "k", 16).collect()
     assert len(rows) == 16 and len({r.u for r in rows}) == 16
+
+
+def test_geometry(spark):
+    import numpy as np
+
+    from threadloom.operators import geometry
+
+    square = np.array([[0, 0], [2, 0], [2, 2], [0, 2], [1, 1]], float)
+    h = geometry.hull(square)
+    assert len(h) == 4 and geometry.centroid(h).tolist() == [1, 1]
+    assert geometry.overlap(h, h + 1) and not geometry.overlap(h, h + 3)
+    rows = [(g, float(x + dx), float(y)) for g, dx in (("a", 0), ("b", 1), ("c", 9)) for x, y in square] + [("a", None, 1.0)]
+    corners = geometry.hulls(spark.createDataFrame(rows, "g string, x double, y double").repartition(4), "g", "x", "y")
+    assert corners.groupBy("g").count().where("count = 4").count() == 3
+    got = {r.g: r.colour for r in geometry.colours(corners, "g").collect()}
+    assert abs(got["a"] - got["b"]) >= 2 and set(got) == {"a", "b", "c"}
+
+
+def test_least_loaded(spark):
+    df = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1), ("e", None)], "k string, n long")
+    got = {r.k: r.bucket for r in splitting.least_loaded(df, "k", "n", 2).collect()}
+    assert got["b"] == got["c"] != got["a"] and got["d"] == got["a"]
+
+
+def test_interleaved(spark):
+    r = spark.createDataFrame([("Title: x Body: y Body: z",), ("none",)], "v string").select(X.interleaved(F.col("v")).alias("o")).collect()
+    assert [tuple(x.o) for x in r] == [("Title: x Body: ", "y Body: z"), ("none", None)]

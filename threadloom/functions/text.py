@@ -129,3 +129,16 @@ def media_status(ok: Column, expected: Column, nsfw: Column, crosspost: Column)
 
 def sanitized_id(c: Column) -> Column:
     return F.substring(F.translate(c, "|/\\", "___"), 1, 50)
+
+
+def prompt(community: Column, rules: Column, title: Column, body: Column, thread: Column, question: str) -> Column:
+    """The text of one question: community, numbered rules, submission, discussion; parts without content are left out."""
+    part = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c))
+    numbered = F.array_join(F.transform(rules, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r)), "\n")
+    return F.concat_ws("\n\n", part("Community: ", community), part("Rules:\n", numbered), part("Title: ", title), part("Body: ", body), part("Discussion:\n", F.array_join(thread, "\n")), F.lit(question))
+
+
+def interleaved(text: Column, marker: str = "Body: ") -> Column:
+    """(before, after) the first marker, between which images go; after is null without one."""
+    at = F.instr(text, marker)
+    return F.struct(F.when(at > 0, F.substring(text, F.lit(1), at + len(marker) - 1)).otherwise(text).alias("before"), F.when(at > 0, F.substring(text, at + len(marker), F.length(text))).alias("after"))

@@ -56,3 +56,20 @@ def stratified_sample(df: DataFrame, stratum: str, unique: str, key: str, total:
 
     t = dict(some.dtypes)
     return some.groupBy().applyInPandas(choose, f"`{stratum}` {t[stratum]}, `{unique}` {t[unique]}, `{key}` {t[key]}")
+
+
+def least_loaded(df: DataFrame, key: str, load: str, buckets: int) -> DataFrame:
+    """(key, bucket): keys by falling load, each to the bucket with least so far; for as many rows as there are communities."""
+
+    def give(pdf: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        heap = [(0, b) for b in range(buckets)]
+        out = []
+        for r in pdf.fillna({load: 0}).sort_values([load, key], ascending=[False, True]).itertuples(index=False):
+            n, b = heapq.heappop(heap)
+            out.append((getattr(r, key), b))
+            heapq.heappush(heap, (n + getattr(r, load), b))
+        return pd.DataFrame(out, columns=[key, "bucket"])
+
+    return df.select(key, load).groupBy().applyInPandas(give, f"`{key}` {dict(df.dtypes)[key]}, bucket int")

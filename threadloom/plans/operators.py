@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.keys import bare_id, community_key
-from ..operators import documents, matching, splitting, statistics, threads
+from ..operators import clustering, documents, geometry, matching, splitting, statistics, threads
 from ..sources.tables import table
 from .relational import _full
 from .reply_trees import _LINKS, reply_trees
@@ -222,6 +222,35 @@ def doc04_roundtrip(spark, folder):
     return back.select("pair", "side", F.size("thread").cast("bigint").alias("length"), F.size(F.filter("thread", lambda c: ~c["found"])).cast("bigint").alias("missing"), F.sha2(text, 256).alias("digest"))
 
 
+def scl22_prompt(spark, folder):
+    rules = table(spark, folder, "subreddits").select(community_key("subreddit").alias("sub"), F.explode("rules").alias("r")).where("r.short_name_clean is not null").select("sub", "r.rule_index", F.col("r.short_name_clean").alias("name")).distinct()
+    listed = rules.groupBy("sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_index", "name"))), lambda x: x["name"]).alias("rules"))
+    rows = _pairs(spark, folder).join(listed, "sub")
+    text = X.prompt(F.col("sub"), F.col("rules"), F.lit(None).cast("string"), F.col("rule"), F.array("violating", "compliant"), "Which rule is broken?")
+    return rows.select("pair", F.sha2(text, 256).alias("digest"), X.interleaved(text)["before"].alias("before"))
+
+
+def spl08_least_loaded(spark, folder):
+    n = table(spark, folder, "comments").select(community_key("subreddit").alias("sub")).where("sub is not null").groupBy("sub").agg(F.count("*").alias("n"))
+    return splitting.least_loaded(n, "sub", "n", 5)
+
+
+def _points(spark, folder):
+    return table(spark, folder, "embeddings").select("label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+
+
+def mth06_hulls(spark, folder):
+    return geometry.hulls(_points(spark, folder), "label", "x", "y").select("label", "corner", F.round("px", 6).alias("x"), F.round("py", 6).alias("y"))
+
+
+def mth07_colours(spark, folder):
+    return geometry.colours(geometry.hulls(_points(spark, folder), "label", "x", "y"), "label")
+
+
+def ext10_cluster_grid(spark, folder):
+    return clustering.grid(table(spark, folder, "embeddings"), "vec_id", "embedding", [("kmeans", 5), ("kmeans", 8), ("bisecting", 8)]).withColumn("score", F.round("score", 4))
+
+
 _MEMBER = "m AS (SELECT nullif(regexp_replace(trim(mod_comment_id), '^t[0-9]_', ''), '') AS pair, side, level, nullif(regexp_replace(trim(comment_id), '^t[0-9]_', ''), '') AS id FROM thread_members)"
 _CLEAN = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   replace(replace(replace(replace(replace(replace(replace(coalesce({0}, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'),
@@ -279,5 +308,9 @@ SELECT pair, (row_number() OVER w - 1)::INT AS pos, '(' || chr(96 + (row_number(
     "doc02_dehydrate": f"WITH {_MEMBER} SELECT pair, side, count(*) AS length, string_agg(id, ',' ORDER BY level, id) AS ids, '[NEEDS_HYDRATION]' AS body FROM m GROUP BY pair, side",
     "doc04_roundtrip": f"WITH {_full('SELECT 1 FROM c', 1).partition('WITH ')[2].rpartition('SELECT 1 FROM c')[0].strip()}, {_MEMBER} SELECT pair, side, count(*) AS length, count(*) FILTER (c.id IS NULL) AS missing, sha256(string_agg(coalesce(c.body_clean, 'missing'), '|' ORDER BY level, m.id)) AS digest FROM m LEFT JOIN (SELECT * FROM c WHERE NOT gone) c ON c.id = m.id GROUP BY pair, side",
 }
-_HERE = (scl01_clean_text, prj02_rule_text, flt04_bots, scl05_language_root, scl06_timestamp, scl07_mentions, scl08_answers, scl12_errors, scl13_urls, scl17_media, scl19_status, flt11_edited, tre01_edges, tre04_first_issue, tre06_best_sibling, tre06_candidates, tre07_greedy, tre10_forest, mth01_divergence, mth02_similarity, match_rules, agg09_floor_percentiles, agg16_accuracy, agg17_majority, win02_filtered_rank, spl01_adaptive_split, spl03_options, spl04_stratified, spl06_bootstrap, doc02_dehydrate, doc04_roundtrip)
+ORACLE["scl22_prompt"] = f"""{_P}, r AS (SELECT DISTINCT nullif(regexp_replace(lower(trim(subreddit)), '^/?r/', ''), '') AS sub, x.rule_index AS i, x.short_name_clean AS name FROM (SELECT subreddit, unnest(rules) AS x FROM subreddits) WHERE x.short_name_clean IS NOT NULL),
+l AS (SELECT sub, string_agg(n || '. ' || name, chr(10) ORDER BY n) AS rules FROM (SELECT sub, name, row_number() OVER (PARTITION BY sub ORDER BY i, name) AS n FROM r) GROUP BY sub),
+t AS (SELECT pair, concat_ws(chr(10) || chr(10), 'Community: ' || sub, 'Rules:' || chr(10) || rules, 'Body: ' || rule, 'Discussion:' || chr(10) || concat_ws(chr(10), violating, compliant), 'Which rule is broken?') AS text, strpos(concat_ws(chr(10) || chr(10), 'Community: ' || sub, 'Rules:' || chr(10) || rules, 'Body: ' || rule), 'Body: ') AS spot FROM p JOIN l USING (sub))
+SELECT pair, sha256(text) AS digest, CASE WHEN spot > 0 THEN substr(text, 1, spot + 5) ELSE text END AS before FROM t"""
+_HERE = (scl01_clean_text, prj02_rule_text, flt04_bots, scl05_language_root, scl06_timestamp, scl07_mentions, scl08_answers, scl12_errors, scl13_urls, scl17_media, scl19_status, flt11_edited, tre01_edges, tre04_first_issue, tre06_best_sibling, tre06_candidates, tre07_greedy, tre10_forest, mth01_divergence, mth02_similarity, match_rules, agg09_floor_percentiles, agg16_accuracy, agg17_majority, win02_filtered_rank, spl01_adaptive_split, spl03_options, spl04_stratified, spl06_bootstrap, doc02_dehydrate, doc04_roundtrip, scl22_prompt, spl08_least_loaded, mth06_hulls, mth07_colours, ext10_cluster_grid)
 QUERIES = {f.__name__: f for f in _HERE}

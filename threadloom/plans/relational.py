@@ -171,6 +171,59 @@ SQL = {
     "val01_sum_of_parts": "SELECT count(*) AS total, count_if(split = 'train') + count_if(split = 'val') + count_if(split = 'test') + count_if(split IS NULL) AS parts FROM p",
     "val02_members_match_lengths": "SELECT p.pair, coalesce(m.n, 0) AS members, p.vlen AS expected, coalesce(m.n, 0) = coalesce(p.vlen, -1) AS ok FROM p LEFT JOIN (SELECT BARE(mod_comment_id) AS pair, count(*) AS n FROM thread_members WHERE side = 'violating' GROUP BY BARE(mod_comment_id)) m ON m.pair = p.pair",
     "val10_expected_rows": "SELECT 'submission' AS kind, p.submission AS id, 'CRITICAL' AS severity FROM p LEFT JOIN s ON s.id = p.submission WHERE s.id IS NULL AND p.submission IS NOT NULL UNION SELECT 'violating', p.violating, 'WARNING' FROM p LEFT JOIN c ON c.id = p.violating WHERE c.id IS NULL AND p.violating IS NOT NULL",
+    # --- further sources, filters and projections
+    "src15_lookup_any_case": "SELECT x.name, d.sub IS NOT NULL AS found FROM (SELECT DISTINCT display_name AS name, COMM(subreddit) AS key FROM subreddits WHERE display_name IS NOT NULL) x LEFT JOIN d ON d.sub = x.key",
+    "src16_index_subset": "SELECT n.sub, n.i FROM (SELECT sub, row_number() OVER (ORDER BY sub) - 1 AS i FROM d) n WHERE EXISTS (SELECT 1 FROM p WHERE p.sub = n.sub)",
+    "src20_language_counts": "SELECT coalesce(lower(PART(replace(d.language, '_', '-'), '-', 1)), 'unknown') AS root, p.split, count(*) AS n FROM p JOIN d ON d.sub = p.sub GROUP BY coalesce(lower(PART(replace(d.language, '_', '-'), '-', 1)), 'unknown'), p.split",
+    "src22_config_grid": "SELECT g.split, g.label, r.acc FROM (SELECT s.split, l.label FROM (SELECT DISTINCT split FROM p WHERE split IS NOT NULL) s CROSS JOIN (SELECT DISTINCT label FROM p WHERE label IS NOT NULL) l) g LEFT JOIN (SELECT split, label, round(avg(violating_ok), 6) AS acc FROM res WHERE violating_ok IS NOT NULL GROUP BY split, label) r ON r.split = g.split AND r.label = g.label",
+    "flt02_moderators": "SELECT id, sub FROM c WHERE distinguished IS NOT DISTINCT FROM 'moderator'",
+    "flt19_any_media": "SELECT id, coalesce(is_video, false) OR RX(lower(coalesce(url, '')), '[.](jpg|jpeg|png|gif|webp|bmp)$') AS media FROM s",
+    "flt20_parsed": "SELECT BARE(id) AS id FROM comments WHERE JSON(raw, id) IS NOT NULL AND JSON(raw, edited) = 'false'",
+    "prj03_without_key": "SELECT pair, sub, submission, split FROM p",
+    "scl10_label_clean": "SELECT DISTINCT rule_cluster_label AS raw_label, lower(trim(PART(rule_cluster_label, '/', 1))) AS head FROM thread_pairs WHERE rule_cluster_label IS NOT NULL",
+    "scl11_override_lines": "SELECT line, CAST(RXGET(line, '^ *(-?[0-9]+) *:') AS INT) AS id, trim(RXGET(line, ': *(.+)$')) AS label FROM (SELECT concat('  ', CAST(cluster_id AS VARCHAR(9)), ' : ', label) AS line FROM (SELECT DISTINCT cluster_id, label FROM p WHERE cluster_id IS NOT NULL AND label IS NOT NULL) z) y",
+    "scl16_url_ampersand": "SELECT id, replace(concat(url, '?a=1&amp;b=2'), '&amp;', '&') AS url FROM s WHERE url IS NOT NULL",
+    "scl18_file_name": "SELECT id, concat(id, '_direct.', RXGET(lower(url), '[.]([a-z]+)$')) AS file FROM s WHERE RX(lower(coalesce(url, '')), '[.](jpg|jpeg|png|gif|webp|bmp)$')",
+    "scl20_context_flags": "SELECT flags, HAS(flags, 'submission') AS submission, HAS(flags, 'media') AS media, NOT HAS(flags, 'media') OR HAS(flags, 'submission') AS sound FROM (SELECT 'discussion-submission-media' AS flags UNION ALL SELECT 'discussion' UNION ALL SELECT 'discussion-media') z",
+    "scl23_before_body": "SELECT id, PART(concat('Title: ', coalesce(title, ''), ' Body: ', coalesce(selftext, '')), 'Body: ', 1) AS head FROM s",
+    "scl24_phrase": "SELECT id, concat(replace(title, 'I ', 'We '), CASE WHEN substr(title, length(title), 1) = '.' THEN '' ELSE '.' END) AS phrase FROM s WHERE title IS NOT NULL",
+    "scl26_result_path": "SELECT pair, concat_ws('/', 'model', split, sub, pair) AS path FROM p WHERE split IS NOT NULL",
+    "scl32_video": "SELECT id, coalesce(is_video, false) OR HAS(lower(coalesce(url, '')), 'youtube.com') AS video FROM s",
+    "scl33_fan_out": "SELECT pair, side, concat(side, ': ', coalesce(comment, 'none')) AS message FROM side",
+    # --- further joins and aggregates
+    "joi20_merge_intervals": "SELECT a.label, a.acc, b.lo, b.hi FROM (SELECT label, round(avg(violating_ok), 6) AS acc FROM res WHERE label IS NOT NULL AND violating_ok IS NOT NULL GROUP BY label) a LEFT JOIN (SELECT label, round(min(vscore), 4) AS lo, round(max(vscore), 4) AS hi FROM p GROUP BY label HAVING count(*) > 5) b ON a.label = b.label",
+    "joi23_label_colour": "SELECT p.pair, coalesce(k.colour, 'grey') AS colour FROM p LEFT JOIN (SELECT label, concat('c', CAST(row_number() OVER (ORDER BY label) AS VARCHAR(9))) AS colour FROM (SELECT DISTINCT label FROM p WHERE label IS NOT NULL AND label NOT IN ('other', 'noise')) z) k ON k.label = p.label",
+    "ded07_distinct_warnings": "SELECT DISTINCT concat('no rule ', coalesce(p.rule, '(none)'), ' in ', coalesce(p.sub, '(none)')) AS warning FROM p LEFT JOIN r ON r.sub = p.sub AND r.short_clean = p.rule WHERE r.sub IS NULL",
+    "agg04_totals": "SELECT count(*) AS pairs, count_if(sim >= 0.8) AS matched, round(DBL(count_if(sim >= 0.8)) / nullif(count(*), 0), 6) AS rate FROM p",
+    "agg19_audit": "SELECT coalesce(annotator, 'all') AS annotator, count(*) AS questions, round(avg(ok), 6) AS accuracy FROM (SELECT l.annotator, DBL(CASE WHEN lower(trim(l.subject)) = m.subject THEN 1 ELSE 0 END) AS ok FROM subject_labels l JOIN (SELECT doc_id, min(lower(trim(subject))) AS subject FROM subject_labels GROUP BY doc_id) m ON m.doc_id = l.doc_id WHERE l.annotator IS NOT NULL) z GROUP BY GROUPING SETS ((), (annotator))",
+    "agg23_widest": "SELECT split, round(max(hi - lo) / 2, 6) AS half_width, max(best) AS best FROM (SELECT split, label, DBL(max(vscore)) AS hi, DBL(min(vscore)) AS lo, round(avg(violating_ok2), 6) AS best FROM (SELECT split, label, vscore, CASE WHEN vscore > 0 THEN 1 ELSE 0 END AS violating_ok2 FROM p WHERE split IS NOT NULL AND vscore IS NOT NULL) y GROUP BY split, label) z GROUP BY split",
+    "agg24_median_centroid": "SELECT c_nationkey, round(PCT(c_acctbal, 0.5), 4) AS y, round(PCT(DBL(c_custkey), 0.5), 4) AS x FROM customer GROUP BY c_nationkey",
+    "agg28_by_name": "SELECT COMM(subreddit) AS sub, count(*) AS n FROM comments GROUP BY COMM(subreddit)",
+    "agg31_status_by_community": "SELECT sub, count_if(coalesce(over_18, false)) AS skipped, count_if(coalesce(is_self, false)) AS no_media, SET(CASE WHEN coalesce(is_self, false) THEN id END) AS done FROM s GROUP BY sub",
+    "agg32_recomputed": "SELECT n.new_label AS label, round(avg(r.violating_ok), 6) AS acc, count(*) AS n FROM res r JOIN (SELECT pair, CASE WHEN label IN ('other', 'noise') OR label IS NULL THEN 'Other' ELSE label END AS new_label FROM p) n ON n.pair = r.pair WHERE r.violating_ok IS NOT NULL GROUP BY n.new_label",
+    "win04_rerank": "SELECT sub, row_number() OVER (ORDER BY coalesce(mrank, 999999), sub) AS sfw_rank FROM d WHERE coalesce(over18, true) = false",
+    "win10_palette_index": "SELECT label, BIG(floor((row_number() OVER (ORDER BY x, label) - 1) * 9.0 / greatest(count(*) OVER () - 1, 1))) AS colour FROM (SELECT label, min(vec_id) AS x FROM embeddings GROUP BY label) z",
+    "srt01_largest_first": "SELECT sub, BIG(sum(length(coalesce(body, '')))) AS size FROM cr GROUP BY sub ORDER BY size DESC, sub LIMIT 20",
+    "srt06_first_five": "SELECT pair FROM p ORDER BY pair LIMIT 5",
+    "srt07_newest_first": "SELECT MONTH(retrieved_at) AS month, count(*) AS n FROM s GROUP BY MONTH(retrieved_at) ORDER BY month DESC LIMIT 12",
+    "set05_union_ids": "SELECT violating AS id FROM p WHERE violating IS NOT NULL UNION SELECT compliant FROM p WHERE compliant IS NOT NULL",
+    "mth04_slope": "SELECT round(regr_slope(clen, vlen), 6) AS slope, round(regr_intercept(clen, vlen), 6) AS intercept, round(corr(clen, vlen), 6) AS r FROM (SELECT DBL(clen) AS clen, DBL(vlen) AS vlen FROM p WHERE clen IS NOT NULL AND vlen IS NOT NULL) z",
+    "mth08_guarded_ratio": "SELECT sub, round(coalesce(DBL(count_if(gone)) / nullif(count_if(NOT gone), 0), 0), 6) AS ratio FROM cr GROUP BY sub",
+    "mth09_half_even": "SELECT sub, greatest(BIG(1), BIG(RINT(DBL(count(*)) / 4))) AS share FROM p GROUP BY sub",
+    "tre08_pair_metadata": "SELECT p.pair, p.submission, p.rule, round(p.sim, 6) AS sim, p.common, p.depth, p.vlen, p.clen, v.author AS violating_author, k.author AS compliant_author FROM p LEFT JOIN c v ON v.id = p.violating LEFT JOIN c k ON k.id = p.compliant",
+    "tre09_adjacency": "SELECT a.sub AS a, SET(b.sub) AS neighbours FROM (SELECT DISTINCT sub, submission FROM p) a JOIN (SELECT DISTINCT sub, submission FROM p) b ON a.submission = b.submission AND a.sub <> b.sub GROUP BY a.sub",
+    "clu05_remapped": "SELECT cluster_id, merged, label, CASE WHEN merged = -1 THEN -1 ELSE BIG(dense_rank() OVER (PARTITION BY merged = -1 ORDER BY merged)) END AS renumbered FROM (SELECT cluster_id, label, min(cluster_id) OVER (PARTITION BY label) AS merged FROM (SELECT cluster_id, max(CASE WHEN label LIKE '%spam%' OR label LIKE '%repost%' THEN 'spam' ELSE label END) AS label FROM p WHERE cluster_id IS NOT NULL AND label IS NOT NULL GROUP BY cluster_id) z) y",
+    "doc03_thread_ids": "SELECT BARE(mod_comment_id) AS pair, side, count(*) AS length, min(BARE(comment_id)) AS first_id, max(level) AS deepest FROM thread_members GROUP BY BARE(mod_comment_id), side",
+    "doc05_media_on_disk": "SELECT s.id, count(m.id) AS on_disk, count(m.id) >= 1 AS skip FROM s LEFT JOIN (SELECT id FROM s WHERE RX(lower(coalesce(url, '')), '[.](jpg|png)$')) m ON m.id = s.id GROUP BY s.id",
+    "doc10_language_grid": "SELECT root, round(avg(CASE WHEN split = 'train' THEN violating_ok END), 6) AS train, round(avg(CASE WHEN split = 'test' THEN violating_ok END), 6) AS test FROM (SELECT r.split, r.violating_ok, lower(PART(replace(d.language, '_', '-'), '-', 1)) AS root FROM res r JOIN d ON d.sub = r.sub WHERE d.language IS NOT NULL) z GROUP BY root HAVING count(*) >= 10",
+    "doc11_sampling_pool": "SELECT p.pair, coalesce(p.label, 'other') AS label FROM p JOIN d ON d.sub = p.sub WHERE lower(d.language) LIKE 'en%'",
+    "val03_orphan_members": "SELECT count(*) AS missing FROM thread_members m LEFT JOIN c ON c.id = BARE(m.comment_id) WHERE c.id IS NULL",
+    "val04_duplicate_ids": "SELECT id, count(*) AS copies FROM cr WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
+    "val05_unknown_communities": "SELECT DISTINCT c.sub FROM c LEFT JOIN d ON d.sub = c.sub WHERE d.sub IS NULL AND c.sub IS NOT NULL",
+    "val06_rules_missing": "SELECT count(*) AS pairs, count_if(r.sub IS NULL) AS without_rule FROM p LEFT JOIN (SELECT DISTINCT sub, short_clean FROM r) r ON r.sub = p.sub AND r.short_clean = p.rule",
+    "val07_split_disjoint": "SELECT submission, SET(split) AS splits FROM p WHERE submission IS NOT NULL AND split IS NOT NULL GROUP BY submission HAVING count(DISTINCT split) > 1",
+    "val08_levels_dense": "SELECT BARE(mod_comment_id) AS pair, side FROM thread_members GROUP BY BARE(mod_comment_id), side HAVING count(*) <> max(level) + 1",
+    "val09_labels_known": "SELECT label, count(DISTINCT cluster_id) AS ids FROM p GROUP BY label",
 }
 
 
