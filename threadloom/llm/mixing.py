@@ -12,7 +12,7 @@ from ..sources.tables import table
 from .tokens import FOLDER, VOCABULARY, with_tokens
 
 #: Tokens of a block; a slot of the schedule holds one block.
-BLOCK_TOKENS = 2048
+BLOCK_TOKENS = 256
 #: Rows numbered by one window partition.
 RUN = 50_000
 GOLDEN = 0.6180339887498949
