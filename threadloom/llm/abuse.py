@@ -277,7 +277,7 @@ def fit(comments: DataFrame, pairs: DataFrame, *, texts: int = FIT_TEXTS, labell
     m = max(1, known.count())
     chosen = cut(known.where(F.pmod(F.xxhash64(F.lit(2), "pair"), F.lit(1_000_000)) < 1_000_000 * min(1.0, labelled / m)))
     each = sides(chosen).join(chosen.select("pair", "label"), "pair")
-    rows = each.join(needed_texts(comments, each), "comment").select("side", "label", "text").collect()
+    rows = each.join(needed_texts(comments, each, few=True), "comment").select("side", "label", "text").collect()
     bags = [r.text for r in rows]
     p, _ = first.texts(bags, Words()) if bags else (np.empty((0, 3)), None)
     extra, extra_labels = [], []

@@ -24,9 +24,13 @@ def sides(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair", F.explode(F.array(F.struct(F.lit("violating").alias("side"), F.col("violating").alias("comment")), F.struct(F.lit("compliant").alias("side"), F.col("compliant").alias("comment")))).alias("s")).select("pair", "s.side", "s.comment").where("comment is not null")
 
 
-def needed_texts(comments: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(comment, text) for the ids in wanted.comment that have a text that wasn't removed."""
+def needed_texts(comments: DataFrame, wanted: DataFrame, *, few: bool = False) -> DataFrame:
+    """(comment, text) for the ids in wanted.comment that have a text that wasn't removed.
+
+    few: the ids are a sample of bounded size, and go to the comments instead of the comments to them.
+    """
     ids = wanted.select("comment").distinct()
+    ids = F.broadcast(ids) if few else ids
     rows = comments.where(has_text("body_clean")).select(bare_id("id").alias("comment"), F.col("body_clean").alias("text"))
     return rows.join(ids, "comment", "left_semi").groupBy("comment").agg(F.max("text").alias("text"))
 
