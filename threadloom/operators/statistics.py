@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def divergence_from_uniform(df: DataFrame, group: str, count: str) -> DataFrame:
     """(group, divergence): squared Jensen-Shannon distance, in nats, of a group's counts from equal ones; 1 where they sum to 0."""
@@ -37,8 +39,8 @@ def filtered_rank(df: DataFrame, passes: Column, order: list[Column], name: str
     The rank is global: rows are sorted into ranges, numbered within each, and the sizes of the ranges before are added, so
     that no task holds the table.
     """
-    spark = df.sparkSession
-    good = df.where(passes).orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    # written, as a second sort might cut its ranges elsewhere
+    good = cut(df.where(passes).orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
     sizes = good.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__low"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = good.join(F.broadcast(before.select("__p", "__low", "__before")), "__p").withColumn(name, (F.col("__i") - F.col("__low") + F.col("__before") + 1).cast("bigint")).drop("__p", "__i", "__low", "__before")
