@@ -336,3 +336,16 @@ def test_bisecting():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     leaf = subjects.bisect(x, leaves=5, least=10)
     assert len(set(leaf)) == 5 and all(len(set(leaf[k : k + 40])) == 1 for k in range(0, 200, 40))
+
+
+def test_subjects_of_all_documents(spark):
+    """Words count in documents outside the sample and past the beginning of long ones."""
+    filler = "the of and to in is it that for was " * 10 + ". "
+    common = [(i, filler + "The dividend and the portfolio were good. The mortgage and the savings too. ") for i in range(60)]
+    rare = [(100 + i, filler * (subjects.FIT_CHARS // len(filler) + 2) + "The quixplar was here with the dividend. ") for i in range(8)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "finance", "a1") for i in range(60)], "doc_id long, subject string, annotator string")
+    leaves, stats = subjects.grown(docs, labels, ["finance", "food"], docs=70)
+    of, base = subjects.label(stats, ["finance", "food"], {})
+    seen = {r.term: r.n for r in stats.where("kind = 'term'").groupBy("term").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert seen["quixplar"] == 8 and seen["dividend"] == 68 and stats.where("kind = 'doc'").agg({"n": "sum"}).first()[0] == 68
