@@ -139,3 +139,11 @@ def test_least_loaded(spark):
 def test_interleaved(spark):
     r = spark.createDataFrame([("Title: x Body: y Body: z",), ("none",)], "v string").select(X.interleaved(F.col("v")).alias("o")).collect()
     assert [tuple(x.o) for x in r] == [("Title: x Body: ", "y Body: z"), ("none", None)]
+
+
+def test_judged_reads_whole_texts(spark, tmp_path):
+    from threadloom.plans import catalog
+
+    spark.createDataFrame([(1, "a"), (2, "an b"), (3, "the A"), (4, "act"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.judged for r in catalog.QUERIES["scl09_judged"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: False}

@@ -59,6 +59,10 @@ def scl08_answers(spark, folder):
     return d.select("doc_id", X.answer_choice(F.col("text")).alias("choice"), X.judged_right(F.substring(F.col("text"), 1, 1)).alias("judged"))
 
 
+def scl09_judged(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", X.judged_right(F.col("text")).alias("judged"))
+
+
 def scl12_errors(spark, folder):
     e = table(spark, folder, "events").select("event_id", F.concat(F.col("event_type"), F.lit(" "), F.pmod(F.col("event_id"), F.lit(500)).cast("string"), F.when(F.col("user_id") % 5 == 0, " timeout").otherwise("")).alias("message"))
     return e.select(X.error_category(F.col("message")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
@@ -282,6 +286,7 @@ SELECT DISTINCT sub, rule_index, s AS short_name, trim(CASE WHEN v <> '' THEN 'V
     "scl06_timestamp": "SELECT DISTINCT nullif(regexp_replace(trim(id), '^t[0-9]_', ''), '') AS id, strftime(make_timestamp(created_utc * 1000000), '%a, %b %-d, %Y, %-I:%M%p') AS text FROM submissions",
     "scl07_mentions": "SELECT DISTINCT nullif(regexp_replace(trim(id), '^t[0-9]_', ''), '') AS id, regexp_replace(body_clean, 'u/[\\p{L}\\p{N}_]+', '', 'g') AS text FROM comments WHERE contains(body_clean, 'u/')",
     "scl08_answers": "SELECT doc_id, CASE WHEN regexp_extract(lower(coalesce(text, '')), '[a-z]') <> '' THEN '(' || regexp_extract(lower(coalesce(text, '')), '[a-z]') || ')' ELSE '' END AS choice, coalesce(lower(substr(text, 1, 1)) = 'a', false) AS judged FROM documents",
+    "scl09_judged": "SELECT doc_id, coalesce(contains(lower(text), 'a') AND NOT contains(lower(text), 'b') AND NOT contains(lower(text), 'c'), false) AS judged FROM documents",
     "scl12_errors": """WITH m AS (SELECT event_type || ' ' || (event_id % 500)::VARCHAR || CASE WHEN user_id % 5 = 0 THEN ' timeout' ELSE '' END AS t FROM events)
 SELECT CASE WHEN contains(t, '404') OR contains(t, 'not found') THEN '404_not_found' WHEN contains(t, '403') OR contains(t, 'forbidden') THEN '403_forbidden' WHEN contains(t, '429') OR contains(t, 'too many') THEN '429_rate_limited' WHEN contains(t, 'timeout') THEN 'timeout' ELSE 'other_error' END AS category, count(*) AS n FROM m GROUP BY 1""",
     "scl13_urls": f"SELECT DISTINCT url, {_URLHOST} AS host, {_URLEXT} AS ext FROM submissions WHERE url IS NOT NULL",
@@ -312,5 +317,5 @@ ORACLE["scl22_prompt"] = f"""{_P}, r AS (SELECT DISTINCT nullif(regexp_replace(l
 l AS (SELECT sub, string_agg(n || '. ' || name, chr(10) ORDER BY n) AS rules FROM (SELECT sub, name, row_number() OVER (PARTITION BY sub ORDER BY i, name) AS n FROM r) GROUP BY sub),
 t AS (SELECT pair, concat_ws(chr(10) || chr(10), 'Community: ' || sub, 'Rules:' || chr(10) || rules, 'Body: ' || rule, 'Discussion:' || chr(10) || concat_ws(chr(10), violating, compliant), 'Which rule is broken?') AS text, strpos(concat_ws(chr(10) || chr(10), 'Community: ' || sub, 'Rules:' || chr(10) || rules, 'Body: ' || rule), 'Body: ') AS spot FROM p JOIN l USING (sub))
 SELECT pair, sha256(text) AS digest, CASE WHEN spot > 0 THEN substr(text, 1, spot + 5) ELSE text END AS before FROM t"""
-_HERE = (scl01_clean_text, prj02_rule_text, flt04_bots, scl05_language_root, scl06_timestamp, scl07_mentions, scl08_answers, scl12_errors, scl13_urls, scl17_media, scl19_status, flt11_edited, tre01_edges, tre04_first_issue, tre06_best_sibling, tre06_candidates, tre07_greedy, tre10_forest, mth01_divergence, mth02_similarity, match_rules, agg09_floor_percentiles, agg16_accuracy, agg17_majority, win02_filtered_rank, spl01_adaptive_split, spl03_options, spl04_stratified, spl06_bootstrap, doc02_dehydrate, doc04_roundtrip, scl22_prompt, spl08_least_loaded, mth06_hulls, mth07_colours, ext10_cluster_grid)
+_HERE = (scl01_clean_text, prj02_rule_text, flt04_bots, scl05_language_root, scl06_timestamp, scl07_mentions, scl08_answers, scl09_judged, scl12_errors, scl13_urls, scl17_media, scl19_status, flt11_edited, tre01_edges, tre04_first_issue, tre06_best_sibling, tre06_candidates, tre07_greedy, tre10_forest, mth01_divergence, mth02_similarity, match_rules, agg09_floor_percentiles, agg16_accuracy, agg17_majority, win02_filtered_rank, spl01_adaptive_split, spl03_options, spl04_stratified, spl06_bootstrap, doc02_dehydrate, doc04_roundtrip, scl22_prompt, spl08_least_loaded, mth06_hulls, mth07_colours, ext10_cluster_grid)
 QUERIES = {f.__name__: f for f in _HERE}
