@@ -147,3 +147,11 @@ def test_judged_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "an b"), (3, "the A"), (4, "act"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.judged for r in catalog.QUERIES["scl09_judged"](spark, str(tmp_path)).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_sorted_lists_are_whole(spark):
+    from threadloom.plans import catalog
+
+    for name, key in (("srt01_all_by_size", "size"), ("srt07_all_newest_first", "month")):
+        rows = [r[key] for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()]
+        assert len(rows) > 20 and [r for r in rows if r is not None] == sorted((r for r in rows if r is not None), reverse=True)

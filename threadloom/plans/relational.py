@@ -204,8 +204,10 @@ SQL = {
     "win04_rerank": "SELECT sub, row_number() OVER (ORDER BY coalesce(mrank, 999999), sub) AS sfw_rank FROM d WHERE coalesce(over18, true) = false",
     "win10_palette_index": "SELECT label, BIG(floor((row_number() OVER (ORDER BY x, label) - 1) * 9.0 / greatest(count(*) OVER () - 1, 1))) AS colour FROM (SELECT label, min(vec_id) AS x FROM embeddings GROUP BY label) z",
     "srt01_largest_first": "SELECT sub, BIG(sum(length(coalesce(body, '')))) AS size FROM cr GROUP BY sub ORDER BY size DESC, sub LIMIT 20",
+    "srt01_all_by_size": "SELECT sub, BIG(sum(length(coalesce(body, '')))) AS size FROM cr GROUP BY sub ORDER BY size DESC, sub",
     "srt06_first_five": "SELECT pair FROM p ORDER BY pair LIMIT 5",
     "srt07_newest_first": "SELECT MONTH(retrieved_at) AS month, count(*) AS n FROM s GROUP BY MONTH(retrieved_at) ORDER BY month DESC LIMIT 12",
+    "srt07_all_newest_first": "SELECT MONTH(retrieved_at) AS month, count(*) AS n FROM s GROUP BY MONTH(retrieved_at) ORDER BY month DESC",
     "set05_union_ids": "SELECT violating AS id FROM p WHERE violating IS NOT NULL UNION SELECT compliant FROM p WHERE compliant IS NOT NULL",
     "mth04_slope": "SELECT round(regr_slope(clen, vlen), 6) AS slope, round(regr_intercept(clen, vlen), 6) AS intercept, round(corr(clen, vlen), 6) AS r FROM (SELECT DBL(clen) AS clen, DBL(vlen) AS vlen FROM p WHERE clen IS NOT NULL AND vlen IS NOT NULL) z",
     "mth08_guarded_ratio": "SELECT sub, round(coalesce(DBL(count_if(gone)) / nullif(count_if(NOT gone), 0), 0), 6) AS ratio FROM cr GROUP BY sub",
