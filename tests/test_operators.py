@@ -155,3 +155,11 @@ def test_sorted_lists_are_whole(spark):
     for name, key in (("srt01_all_by_size", "size"), ("srt07_all_newest_first", "month")):
         rows = [r[key] for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()]
         assert len(rows) > 20 and [r for r in rows if r is not None] == sorted((r for r in rows if r is not None), reverse=True)
+
+
+def test_bootstrap_of_both_sides(spark):
+    df = spark.createDataFrame([("x", 1.0, 0.0)] * 50 + [("x", 0.0, 1.0)] * 50 + [("y", 1.0, None)] * 40, "label string, violating double, compliant double")
+    got = {(r.kind, r.label, r.side): r for r in statistics.bootstrap_sides(df, "label", ("violating", "compliant"), replicates=5_000).collect()}
+    assert set(got) == {("overall", "all", s) for s in ("violating", "compliant", "overall")} | {("label", "x", s) for s in ("violating", "compliant", "overall")} | {("label", "y", "violating")}
+    assert abs(got["label", "x", "violating"].low - 0.402) < 0.02 and got["label", "y", "violating"].low == 1.0
+    assert abs(got["label", "x", "overall"].high - 0.5) < 1e-9

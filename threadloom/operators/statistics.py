@@ -81,3 +81,46 @@ def bootstrap_interval(df: DataFrame, group: str, value: str, *, replicates: int
     a = (1 - level) / 2
     found = each.groupBy("g").agg(F.percentile(F.col("s") / F.col("n"), F.array(F.lit(a), F.lit(1 - a))).alias("p"))
     return rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(found, "g").select(F.col("g").alias(group), "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+
+
+def bootstrap_sides(df: DataFrame, group: str, sides: tuple[str, str], *, replicates: int = 100_000, seed: int = 42, level: float = 0.95, block: int = 2_000) -> DataFrame:
+    """(kind, group, side, n, mean, low, high): percentile intervals of the mean of each side and of the two sides' mean, overall and per group.
+
+    Resampling n rows gives each combination of group and values a multinomial count, so rows are counted first and each block
+    of replicates draws the counts of all combinations at once. A replicate without a value of a group is skipped there.
+    """
+    cells = df.select(F.col(group).cast("string"), *[F.col(s).cast("double") for s in sides]).groupBy(group, *sides).agg(F.count("*").alias("n"))
+    rows = sorted(cells.collect(), key=repr)
+    spark, a = df.sparkSession, (1 - level) / 2
+    total = sum(r.n for r in rows)
+    sets = [("overall", "all", list(range(len(rows))))] + [("label", g, [i for i, r in enumerate(rows) if r[0] == g]) for g in sorted({r[0] for r in rows if r[0] is not None})]
+    counts = np.array([r.n for r in rows], float)
+    values = np.array([[np.nan if x is None else x for x in r[1:3]] for r in rows], float).reshape(-1, 2)
+
+    def means(n: np.ndarray, at: list[int]) -> np.ndarray:
+        """Means of both sides, and of the two, for rows of counts."""
+        known, v = ~np.isnan(values[at]), np.nan_to_num(values[at])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            m = (n[:, at] @ v) / (n[:, at] @ known)
+        return np.column_stack([m, m.mean(axis=1)])
+
+    def draw(batches):
+        for pdf in batches:
+            for b in pdf["id"]:
+                n = np.random.default_rng([seed, int(b)]).multinomial(total, counts / total, size=min(block, replicates - int(b) * block)).astype(float)
+                for k, (_, _, at) in enumerate(sets):
+                    m = means(n, at)
+                    for j in range(3):
+                        yield pd.DataFrame({"k": k, "j": j, "m": m[:, j]})
+
+    names = [*sides, "overall"]
+    out = []
+    for k, (kind, g, at) in enumerate(sets if total else []):
+        m = means(counts[None, :], at)[0]
+        known = ~np.isnan(values[at])
+        size = [*(counts[at] @ known), counts[at] @ known.all(axis=1)]
+        out += [(k, j, kind, g, names[j], int(size[j]), float(m[j])) for j in range(3) if not np.isnan(m[j])]
+    whole = spark.createDataFrame(out, f"k int, j int, kind string, `{group}` string, side string, n long, mean double")
+    drawn = spark.range(0, -(-replicates // block) if total else 0).mapInPandas(draw, "k int, j int, m double").where(~F.isnan("m"))
+    found = drawn.groupBy("k", "j").agg(F.percentile("m", F.array(F.lit(a), F.lit(1 - a))).alias("p"))
+    return whole.join(found, ["k", "j"]).select("kind", group, "side", "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))

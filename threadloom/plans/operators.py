@@ -168,8 +168,8 @@ def agg16_accuracy(spark, folder):
 
 
 def spl06_bootstrap(spark, folder):
-    r = statistics.bootstrap_interval(_results(spark, folder).select("pair", "label", "violating"), "label", "violating")
-    return r.select("label", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    r = statistics.bootstrap_sides(_results(spark, folder), "label", ("violating", "compliant"))
+    return r.select("kind", "label", "side", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def _vectors(spark, folder):
