@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 TASK_ROWS = 200_000
 
 _made: list[tuple[SparkSession, str]] = []
+#: Folders made for local sessions without the setting, by application; the setting itself can't be changed in a running session.
+_own: dict[str, str] = {}
 
 
 def session(app: str = "threadloom", cores: int = 8, shuffle: int = 8) -> SparkSession:
@@ -39,11 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="threadloom-")
+    return _own[app]
 
 
 def cut(df: DataFrame, *cluster: str) -> DataFrame:
