@@ -1,8 +1,9 @@
 """Problem 7: abusive, hateful and sexual content.
 
-Multiple-instance learning: each sentence has a score per category, linear in hashed words and word pairs; a text's score is
-the noisy-or of its sentences. Weights are trained from labels of whole texts: labelled examples written for this purpose,
-set among sentences of the corpus, and texts of thread pairs whose cluster label names a category.
+Multiple-instance learning from the labels of whole texts: the texts of labelled thread pairs are bags of sentences, and the
+rule cluster's label says, not reliably, whether a bag holds an offence. Each sentence has a probability per category, linear
+in hashed words and word pairs; a text's is the noisy-or of its sentences. Training sees nothing but the labels: there is no
+list of offensive words or sentences. The sentence that says most for a category is the one named as offending.
 """
 
 from __future__ import annotations
@@ -17,44 +18,24 @@ from pyspark.sql import functions as F
 from ..functions.keys import bare_id, community_key, has_text
 from ..session import cut
 from ..sources.tables import table
+from .models import fitted
 from .pairs import distinct_pairs, needed_texts, sides
 
 CATEGORIES = ("abuse", "hate", "sexual")
 BUCKETS = 1 << 20
-#: Texts of the corpus that lend sentences to the examples, and labelled texts of thread pairs used; chosen by hash.
-FIT_TEXTS, FIT_PAIRS = 4_000, 3_000
+#: Labelled pairs used of each category and of all other labels together; chosen by hash.
+FIT_PAIRS = 5_000
 #: Words of an instance; longer sentences become overlapping instances.
 WINDOW = 14
-#: Probability of a sentence below which it counts as harmless when texts are scored.
-FLOOR = 0.03
+#: Log-odds of a sentence that holds nothing the model knows.
+NOTHING = -8.0
+#: Fewest positive texts a word or word pair must be in, and the log-likelihood ratio it must reach, to be looked at.
+LEAST, RATIO = 3, 14.0
+#: Precision of the normal prior on weights.
+PRIOR = 0.25
 #: Score from which a text counts as being of its likeliest category.
-THRESHOLD = 0.3
-
-#: Insults, names of groups, and example sentences ({x}: an insult, {g}: a group). The last list holds harmless
-#: uses of the same words.
-INSULTS = "idiot moron loser asshole dumbass scumbag parasite fool imbecile cretin nitwit dimwit halfwit clown pig rat cockroach dirtbag douchebag lowlife dipshit jerk bastard bitch piece_of_shit retard prick coward snake weasel trash".split()
-GROUPS = "Ostrani|Dravians|Nomari|Velmari|Tallians|Sundari immigrants|Keltho people|Morvek believers|immigrants|those foreigners|refugees|these people|believers|Northerners|women|gays|Jews|Muslims".split("|")
-EXAMPLES = {
-    "abuse": """you are a complete {x}|what a pathetic {x} you are|shut up, you {x}|OP is a worthless {x}|only a {x} like you would write this|nobody likes you, {x}, just leave|go cry somewhere else, {x}|drop dead, {x}|I hope you choke on it, you {x}|
-the guy above me is a {x} and a liar|your whole family must be ashamed of you, {x}|you disgust me, crawl back into your hole|someone should smash your face in|keep talking and I will hunt you down|you stupid {x}|I will find you and hurt you|
-du bist ein kompletter vollidiot|halt die fresse, du penner|verpiss dich endlich, du spast|so ein dummes arschloch wie dich braucht keiner hier|eres un completo imbécil|cállate la boca, gilipollas de mierda|vaya idiota patético estás hecho|ojalá te mueras, desgraciado|
-tu es un vrai connard|ferme ta gueule, espèce d'abruti|quel crétin pathétique tu fais|va crever, sale ordure|tu és um perfeito imbecil|cala a boca, seu otário de merda|que idiota patético que me saíste|morre longe, desgraçado|
-sei un perfetto imbecille|chiudi quella bocca, stronzo|che idiota patetico che sei|crepa, pezzo di merda|jij bent een complete klootzak|hou je bek, sukkel|wat een zielige idioot ben jij toch|val dood, achterlijke mongool""",
-    "hate": """{g} are subhuman filth|everyone knows {g} are animals|we should get rid of all {g} for good|the country was clean before the {g} came to infest it|no {g} deserves to live among us|never hire {g}, that whole race is inferior|{g} are vermin and should be thrown out|
-typical {g}, born to steal|send the {g} back, they breed like rats|{g} don't belong in our country|{g} sind ungeziefer und gehören rausgeworfen|alle {g} sind eine minderwertige rasse|los {g} son alimañas y hay que echarlos|todos los {g} son una raza inferior|
-tous les {g} sont une race inférieure|les {g} sont de la vermine, il faut les jeter dehors|os {g} são vermes e deviam ser expulsos|todos os {g} são uma raça inferior|gli {g} sono parassiti e vanno cacciati|tutti gli {g} sono una razza inferiore|
-al die {g} zijn een minderwaardig ras|{g} zijn ongedierte en moeten eruit gegooid worden""",
-    "sexual": """your boobs look so good I want to grab them|send me your nudes, babe|I am so horny for you right now|looking for a hookup, no clothes, all night long|let me lick you all over, sexy|watch my uncensored sex tape, link in profile|selling hot nude pics, message me|
-I want to see you naked on my bed|anyone up for some dirty sexting tonight|I uploaded my porn clip, come watch me strip|schick mir deine nacktbilder, süße|ich bin gerade total geil auf dich|mándame tus fotos desnuda, guapa|estoy muy cachondo por ti ahora mismo|
-envoie-moi tes photos nue, ma belle|j'ai trop envie de te voir toute nue|manda-me as tuas fotos nua, querida|estou cheio de tesão por ti agora|mandami le tue foto nuda, bella|ho troppa voglia di vederti nuda|stuur me je naaktfoto's, schatje|ik ben zo geil op jou nu""",
-    "": """please do not call other members morons, rule one says so|I felt like such an idiot for forgetting the key|that stupid printer jammed again|we had a rat and a cockroach problem until the landlord sealed the wall|the pig farm next door is quiet in winter|my code is garbage and I hate it|
-he quoted the line about clowns from the play|a fool and his money are soon parted, as they say|a dumb terminal is all you need|shut up and take my money|you have to kill the process before it eats the disk|I bombed the exam and want to die laughing|that match was a massacre, they destroyed the away side|
-Ostrani food is wonderful, try the dumplings|the Dravians in that novel are treated badly and it made me sad|our class on sexual health was boring but useful|the nude painting sold at auction|the naked eye cannot see it|this recipe is sinfully good, hot and sticky|the cockpit lights in the classic model assess the angle|
-I am such a loser today|what an idiot I was|the rule says no insults like moron or idiot|the museum shows nude figures|breast cancer screening is free|the sex of the plant matters|my dog is a clown|the Nomari festival was lovely|Velmari songs are beautiful|Tallians and Sundari immigrants opened a bakery|
-this movie is trash|I hate this lamp|the rat in the lab learned fast|the snake shed its skin|kill the lights|the book about refugees won a prize|women in science gave a talk|you are a great help|nobody likes this weather|drop the box here""",
-}
-_BEFORE = ("seriously, ", "honestly, ", "let me be clear: ", "for the last time, ", "listen, ", "lol ", "ok, ", "wow, ", "again, ", "look, ")
-_AFTER = (" end of story", " lol", " haha", " and I mean it", " and everyone here knows it", " no matter what the mods say", " for real")
+THRESHOLD = 0.4
+
 _LEET = str.maketrans("013457@$", "oieastas")
 
 _CUT = re.compile(r"[.!?…\n]+(?=\s|$)")
@@ -142,23 +123,37 @@ def instances(texts: list[str], words: Words) -> tuple[np.ndarray, ...]:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias = weights.astype(np.float32), bias.astype(np.float32)
+    """Weights of the features that have any, per category."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray):
+        self.features, self.weights, self._all = features, weights.astype(np.float32), None
+
+    def __getstate__(self):
+        return {"features": self.features, "weights": self.weights, "_all": None}
 
     def scores(self, texts: list[str], words: Words):
         """Per instance: text, sentence, probability of each category."""
+        if self._all is None:
+            self._all = np.zeros((BUCKETS, 3), np.float32)
+            self._all[self.features] = self.weights
         features, who, sentence, lo, hi = instances(texts, words)
         if not len(who):
             return who, sentence, np.empty((0, 3))
-        each = self.weights[features[:, 0]] + self.weights[features[:, 1]] + self.weights[features[:, 2]]
+        each = self._all[features[:, 0]] + self._all[features[:, 1]] + self._all[features[:, 2]]
         run = np.concatenate([np.zeros((1, 3)), np.cumsum(each, axis=0, dtype=np.float64)])
-        return who, sentence, 1 / (1 + np.exp(-(run[hi] - run[lo] + self.bias)))
+        return who, sentence, 1 / (1 + np.exp(-(run[hi] - run[lo] + NOTHING)))
 
     def texts(self, texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Noisy-or of each text, and for each category the sentence that says most for it."""
+        """Noisy-or of each text, and for each category the sentence that says most for it.
+
+        Windows of one sentence say the same thing, so a sentence counts once, by its best window.
+        """
         who, sentence, p = self.scores(texts, words)
-        p = np.where(p < FLOOR, 0.0, p)  # else thousands of harmless sentences would add up to something
         none, worst = np.zeros((len(texts), 3)), np.zeros((len(texts), 3), np.int64)
+        if not len(who):
+            return none, worst
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(who) != 0) | (np.diff(sentence) != 0)]))
+        p, who, sentence = np.maximum.reduceat(p, first, axis=0), who[first], sentence[first]
         np.add.at(none, who, np.log1p(-np.minimum(p, 1 - 1e-9)))
         top = np.zeros((len(texts), 3))
         np.maximum.at(top, who, p)
@@ -168,131 +163,139 @@ class Model:
         return 1 - np.exp(none), worst
 
 
-def train(texts: list[str], labels: np.ndarray, weight: np.ndarray, *, epochs: int = 14, rate: float = 0.3, decay: float = 2e-5, seed: int = 5) -> Model:
-    """Adagrad on the likelihood of the texts' labels under the noisy-or of their instances."""
-    features, who, _, lo, hi = instances(texts, Words())
-    rng = np.random.default_rng(seed)
-    w, g2 = np.zeros((BUCKETS, 3)), np.full((BUCKETS, 3), 1e-2)
-    b, b2 = np.full(3, -3.0), np.full(3, 1e-2)
-    bounds = np.searchsorted(who, np.arange(len(texts) + 1))
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for k in range(0, len(order), 200):
-            batch = np.sort(order[k : k + 200])
-            inst = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in batch])
-            if not len(inst):
+class _Bags:
+    """Instances and features of texts, in arrays, for training. Features of fewer than LEAST texts are left out."""
+
+    def __init__(self, texts: list[str]):
+        features, self.who, _, lo, hi = instances(texts, Words())
+        self.n, size = len(texts), hi - lo
+        token = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        inst = np.repeat(np.arange(len(self.who), dtype=np.int32), size)
+        owner = np.zeros(len(features), np.int64)
+        owner[token] = self.who[inst]
+        both = np.unique((np.repeat(owner, 3) << 20) | features.ravel())
+        often = np.bincount(both & (BUCKETS - 1), minlength=BUCKETS)
+        self.buckets = np.flatnonzero(often >= LEAST)
+        index = np.full(BUCKETS, -1, np.int32)
+        index[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
+        both = both[index[both & (BUCKETS - 1)] >= 0]
+        self.bag, self.feature = (both >> 20).astype(np.int32), index[both & (BUCKETS - 1)]
+        each = index[features[token]]
+        rows, cols = np.nonzero(each >= 0)
+        self.inst, self.each = inst[rows], each[rows, cols]
+
+    def telling(self, z: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features that texts with an offence (z, per category) have more often than others beyond chance, and log-odds of them."""
+        use = use.astype(float)
+        m = len(self.buckets)
+        total, start = np.bincount(self.feature, weights=use[self.bag], minlength=m), np.zeros((m, 3))
+        for c in range(3):
+            share = (z[:, c] * use).sum() / max(1.0, use.sum())
+            if not 0 < share < 1:
                 continue
-            mine = np.searchsorted(batch, who[inst])
-            size = hi[inst] - lo[inst]
-            at = np.repeat(lo[inst] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            f = features[at]
-            first = np.cumsum(size) - size
-            s = np.add.reduceat(w[f[:, 0]] + w[f[:, 1]] + w[f[:, 2]], first, axis=0) + b
-            p = 1 / (1 + np.exp(-s))
-            none = np.zeros((len(batch), 3))
-            np.add.at(none, mine, np.log1p(-np.minimum(p, 1 - 1e-9)))
-            whole = np.maximum(1 - np.exp(none), 1e-6)
-            y = labels[batch]
-            grad = np.where(y[mine] > 0, -p * ((1 - whole) / whole)[mine], p) * weight[batch][mine][:, None]
-            per = np.repeat(grad, size, axis=0)
-            rows, inverse = np.unique(f.ravel(), return_inverse=True)
-            total = np.zeros((len(rows), 3))
-            np.add.at(total, inverse, np.repeat(per, 3, axis=0))
-            total += decay * w[rows] * len(batch)
-            g2[rows] += total**2
-            w[rows] -= rate * total / np.sqrt(g2[rows])
-            gb = grad.sum(axis=0)
-            b2 += gb**2
-            b -= rate * gb / np.sqrt(b2)
-    return Model(w, b)
-
-
-def _runs(text: str) -> set[tuple[str, ...]]:
-    """Runs of three words, or all words of a text of two."""
-    w = [plain(t) for t in _TOKEN.findall(text.lower())]
-    return {tuple(w)} if len(w) == 2 else set(zip(w, w[1:], w[2:]))
-
-
-def _sentences(texts: list[str]) -> list[str]:
-    """Sentences of texts that can serve as harmless ones: without a run of words of an offensive example, an insult or a
-    group's name. Harmless uses of those words come from the examples."""
-    parts = [part for name in CATEGORIES for line in EXAMPLES[name].replace("\n", "").split("|") for part in re.split(r"\{.\}", line)]
-    marked = {g for part in parts for g in _runs(part)}
-    named = {w for x in [*INSULTS, *GROUPS[:8]] for w in x.lower().split() if w not in ("people", "immigrants", "believers", "piece_of_shit")} | {"*masked*"}
-    out = []
-    for s in (s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s+", t)):
-        s = _SPELLED.sub(lambda m: re.sub(r"[ .-]", "", m[0]), s) if _LETTERS.search(s) else s
-        w = [plain(t) for t in _TOKEN.findall(s.lower())]
-        if not named.intersection(w) and not marked.intersection(zip(w, w[1:], w[2:])) and not marked.intersection(zip(w, w[1:])):
-            out.append(s)
-    return out
-
-
-def examples(carriers: list[str], *, seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """Labelled texts: each example in several wordings among the sentences of carriers, and as many harmless ones."""
-    rng = np.random.default_rng(seed)
-    pool = [s for s in carriers if 3 < len(s.split()) < 30] or ["It rained all day."]
-    few = lambda n: [pool[i] for i in rng.integers(0, len(pool), n)]
-    texts, labels = [], []
-    for name, lines in EXAMPLES.items():
-        for line in lines.replace("\n", "").split("|"):
-            for _ in range(60 if "{" in line else 20 if name else 24):
-                x = INSULTS[rng.integers(len(INSULTS))].replace("_", " ")
-                trick = rng.random()
-                if trick < 0.12:
-                    x = x[0] + "**" + x[3:]
-                elif trick < 0.2:
-                    x = "unknownword"
-                said = line.replace("{x}", x).replace("{g}", GROUPS[rng.integers(len(GROUPS))])
-                said = (_BEFORE[rng.integers(len(_BEFORE))] if rng.random() < 0.5 else "") + said + (_AFTER[rng.integers(len(_AFTER))] if rng.random() < 0.4 else "")
-                texts.append(". ".join([*few(rng.integers(0, 4)), said, *few(rng.integers(0, 3))]) if rng.random() < 0.75 else " ".join([*few(1), said, *few(1)]))
-                labels.append([float(name == c) for c in CATEGORIES])
-    for _ in range(len(texts)):
-        texts.append(" ".join(few(rng.integers(1, 6))))
-        labels.append([0.0] * 3)
-    return texts, np.array(labels)
-
-
-def category_of(label: str | None) -> int | None:
-    """Index of the category a rule cluster's label names."""
-    for k, cue in enumerate((("civil", "personal attack", "harass", "abus"), ("hate", "discriminat", "bigot"), ("nsfw", "sexual"))):
-        if label and any(c in label for c in cue):
-            return k
-    return None
-
-
-def fit(comments: DataFrame, pairs: DataFrame, *, texts: int = FIT_TEXTS, labelled: int = FIT_PAIRS) -> Model:
-    """Trains on the examples, then on these and the labelled texts of pairs.
-
-    A violating text counts as positive for its label's category if the first model finds anything there (labels only partly
-    tell), compliant texts as negative unless it is sure of the opposite. Both samples are bounded and chosen by hash.
+            a = np.bincount(self.feature, weights=(z[:, c] * use)[self.bag], minlength=m)
+            at = np.flatnonzero((a >= LEAST) & (a > share * total))
+            x, t = a[at], total[at]
+            r = np.minimum(x / t, 1 - 1e-9)
+            at = at[2 * (x * np.log(r / share) + (t - x) * np.log((1 - r) / (1 - share))) >= RATIO]
+            start[at, c] = np.log((a[at] + 0.5) / (np.maximum(0, total[at] - a[at]) + 0.5) * (1 - share) / share)
+        ids = np.flatnonzero(start.any(axis=1))
+        return ids, start[ids]
+
+    def chances(self, ids: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Noisy-or of each text; the instances with features of ids, their probabilities, and their features as pairs."""
+        index = np.full(len(self.buckets), -1, np.int32)
+        index[ids] = np.arange(len(ids))
+        f = index[self.each]
+        rows = np.flatnonzero(f >= 0)
+        f = f[rows]
+        used, i = np.unique(self.inst[rows], return_inverse=True)
+        return self._noisy_or(used, i, f, w) + (used, i, f)
+
+    def _noisy_or(self, used, i, f, w):
+        s = np.stack([np.bincount(i, weights=np.ascontiguousarray(w[:, c])[f], minlength=len(used)) for c in range(3)], axis=1) + NOTHING
+        p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        none = np.stack([np.bincount(self.who[used], weights=np.log1p(-np.minimum(p[:, c], 1 - 1e-9)), minlength=self.n) for c in range(3)], axis=1)
+        return np.clip(1 - np.exp(none), 1e-6, 1 - 1e-6), p
+
+    def learn(self, ids: np.ndarray, w: np.ndarray, z: np.ndarray, use: np.ndarray, steps: int, rate: float = 0.25, prior: float = PRIOR) -> np.ndarray:
+        """Weights that maximise the likelihood of z under the noisy-or (Adam over all texts in use), with a normal prior."""
+        if not len(ids):
+            return w
+        _, _, used, i, f = self.chances(ids, w)
+        mine = self.who[used]
+        weight = use.astype(float)[mine][:, None]
+        m1, m2 = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, steps + 1):
+            q, p = self._noisy_or(used, i, f, w)
+            grad = weight * p * ((1 - z) - z * (1 - q) / q)[mine]
+            g = np.stack([np.bincount(f, weights=np.ascontiguousarray(grad[:, c])[i], minlength=len(ids)) for c in range(3)], axis=1) + prior * w
+            m1, m2 = 0.8 * m1 + 0.2 * g, 0.97 * m2 + 0.03 * g * g
+            w = w - rate * (1 - 0.8 * step / steps) * (m1 / (1 - 0.8**step)) / (np.sqrt(m2 / (1 - 0.97**step)) + 1e-3)
+        return w
+
+
+def train(texts: list[str], labels: np.ndarray, *, folds: int = 3, rounds: int = 4, steps: int = 60, seed: int = 5) -> Model:
+    """Weights under which the noisy-or of a text's sentences explains its labels [n, 3], which are taken to be wrong at times.
+
+    A label stands with probability `hit` where there is an offence and with `stray` where there is none. How likely an offence
+    is in a text given its label is judged in each round by a model of the other folds, which can't have learned this text by
+    heart; hit and stray follow from these, and so do the features that are looked at. The last model learns from all texts, and
+    once more with all features of the sentences it finds, which tell apart what only looks alike.
+    """
+    none = Model(np.zeros(0, np.int64), np.zeros((0, 3)))
+    if not texts or not labels.any():
+        return none
+    bags = _Bags(texts)
+    fold = np.random.default_rng(seed).integers(0, folds, len(texts))
+    hit, stray = np.full(3, 0.6), 0.5 * labels.mean(axis=0)
+    z = np.where(labels > 0, 0.6, 0.0)
+    for _ in range(rounds):
+        q = np.zeros_like(z)
+        for k in range(folds):
+            ids, start = bags.telling(z, fold != k)
+            w = bags.learn(ids, 0.5 * start, z, fold != k, steps * 2 // 3)
+            q[fold == k] = bags.chances(ids, w)[0][fold == k]
+        here = np.where(labels > 0, hit, 1 - hit) * q
+        z = here / (here + np.where(labels > 0, stray, 1 - stray) * (1 - q))
+        hit = np.clip((z * labels).sum(axis=0) / (z.sum(axis=0) + 1e-9), 0.2, 0.95)
+        stray = np.clip(((1 - z) * labels).sum(axis=0) / ((1 - z).sum(axis=0) + 1e-9), 1e-6, 0.3)
+    everywhere = np.ones(len(texts), bool)
+    ids, start = bags.telling(z, everywhere)
+    if not len(ids):
+        return none
+    w = bags.learn(ids, 0.5 * start, z, everywhere, steps)
+    _, p, used, _, _ = bags.chances(ids, w)
+    near = np.zeros(len(bags.who), bool)
+    near[used[p.max(axis=1) > 0.02]] = True
+    more = np.union1d(ids, np.flatnonzero(np.bincount(bags.each[near[bags.inst]], minlength=len(bags.buckets)) >= LEAST))
+    again = np.zeros((len(more), 3))
+    again[np.searchsorted(more, ids)] = w
+    return Model(bags.buckets[more], bags.learn(more, again, z, everywhere, steps))
+
+
+#: What a cluster label that names a category has in it.
+CUES = (("civil", "personal attack", "harass", "abus"), ("hate", "discriminat", "bigot"), ("nsfw", "sexual"))
+
+
+def fit(comments: DataFrame, pairs: DataFrame, *, labelled: int = FIT_PAIRS) -> Model:
+    """Trains on the violating and compliant texts of labelled pairs, at most `labelled` of each category and of other labels.
+
+    A violating text is labelled with the category its pair's label names, if any; compliant texts have no label. The sample is
+    chosen by hash and its size doesn't grow with the tables.
     """
-    usable = comments.where(has_text("body_clean"))
-    n = max(1, usable.count())
-    carriers = [r.body_clean for r in usable.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, texts / n)).select("body_clean").collect()]
-    carriers = _sentences(carriers)
-    own, own_labels = examples(carriers)
-    first = train(own, own_labels, np.ones(len(own)))
     known = distinct_pairs(pairs)
-    m = max(1, known.count())
-    chosen = cut(known.where(F.pmod(F.xxhash64(F.lit(2), "pair"), F.lit(1_000_000)) < 1_000_000 * min(1.0, labelled / m)))
-    each = sides(chosen).join(chosen.select("pair", "label"), "pair")
-    rows = each.join(needed_texts(comments, each, few=True), "comment").select("side", "label", "text").collect()
-    bags = [r.text for r in rows]
-    p, _ = first.texts(bags, Words()) if bags else (np.empty((0, 3)), None)
-    extra, extra_labels = [], []
-    for r, q in zip(rows, p):
-        k = category_of(r.label) if r.side == "violating" else None
-        if k is not None and q[k] >= 0.3:
-            extra.append(r.text)
-            extra_labels.append([float(k == j) for j in range(3)])
-        elif q.max() < 0.05 and (lines := _sentences([r.text])):
-            extra.append(" ".join(lines))
-            extra_labels.append([0.0] * 3)
-    clean = [t for t, q in zip(carriers, first.texts(carriers, Words())[0]) if q.max() < 0.1] if carriers else []
-    own, own_labels = examples(clean or carriers)
-    labels = np.concatenate([own_labels, np.array(extra_labels).reshape(-1, 3)])
-    return train(own + extra, labels, np.concatenate([np.ones(len(own)), np.full(len(extra), 0.5)]))
+    name = F.lower(F.trim("label"))
+    kind = F.lit(3)
+    for k, cues in reversed(list(enumerate(CUES))):
+        kind = F.when(F.coalesce(name.rlike("|".join(cues)), F.lit(False)), k).otherwise(kind)
+    known = cut(known.withColumn("kind", kind))
+    sizes = {r.kind: r["count"] for r in known.groupBy("kind").count().collect()}
+    share = F.coalesce(*[F.when(F.col("kind") == k, min(1.0, labelled / n)) for k, n in sizes.items()], F.lit(0.0))
+    chosen = cut(known.where(F.pmod(F.xxhash64(F.lit(2), "pair"), F.lit(1_000_000)) < 1_000_000 * share))
+    each = sides(chosen).join(chosen.select("pair", "kind"), "pair")
+    rows = each.join(needed_texts(comments, each, few=True), "comment").groupBy("comment").agg(F.max("text").alias("text"), F.min(F.when(F.col("side") == "violating", F.col("kind")).otherwise(3)).alias("kind")).orderBy("comment").collect()
+    return train([r.text for r in rows], np.array([[float(r.kind == k) for k in range(3)] for r in rows]).reshape(-1, 3))
 
 
 def score(df: DataFrame, key: list[str], text: str, model: Model) -> DataFrame:
@@ -323,8 +326,9 @@ def score(df: DataFrame, key: list[str], text: str, model: Model) -> DataFrame:
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     comments = table(spark, folder, "comments")
-    model = fit(comments, table(spark, folder, "thread_pairs"))
-    rows = comments.where(has_text("body_clean")).select(bare_id("id").alias("comment_id"), community_key("subreddit").alias("community"), "body_clean").where("comment_id is not null")
+    pairs = table(spark, folder, "thread_pairs")
+    model = fitted(spark, "abuse", [comments, pairs], lambda: fit(comments, pairs))
+    rows = comments.select(bare_id("id").alias("comment_id"), community_key("subreddit").alias("community"), "body_clean").where("comment_id is not null")
     return score(rows, ["comment_id", "community"], "body_clean", model)
 
 
@@ -335,11 +339,12 @@ def _category():
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _scored(spark, folder).withColumn("category", _category()).where("category is not null")
-    # rows of one comment agree in text and so in category
+    # rows of one comment that have a text agree in it and so in category
     return rows.groupBy("comment_id").agg(F.min("category").alias("category"))
 
 
 def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every comment; one without a text in any of its rows has score 0."""
     return _scored(spark, folder).groupBy("comment_id").agg(*[F.max(c).alias(c) for c in CATEGORIES], F.max("sentence").alias("sentence"))
 
 
