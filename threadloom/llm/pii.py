@@ -2,11 +2,14 @@
 
 A character-level bidirectional LSTM with CRF transitions, trained here in numpy from labelled spans, reads all text in
 overlapping windows. Where windows of a text overlap, each gives way in the middle of the overlap, so every character has one
-label and a text its labels as a whole. What it marks is then checked exactly: an item counts only if what stands there has the form of its type.
+label and a text its labels as a whole. Items are the stretches the network labels; an exact check drops those that can't be what
+they are labelled as (a phone number of three digits). No pattern proposes items. Training spans are drawn from published
+formats (numbering plans, forms of identity numbers, postal conventions) and common names, set into sentences of the corpus.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -17,108 +20,109 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import bare_id, has_text
 from ..sources.tables import table
+from .models import fitted
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 TAGS = 1 + len(TYPES)
-HIDDEN, EMBED = 16, 64
+HIDDEN = 24
 #: Characters of a window, and by how much neighbours overlap.
 WINDOW, OVERLAP = 256, 48
 #: Windows run at once.
-LANES = 1024
+LANES = 512
 #: Lengths of windows are rounded up to a multiple of this.
 STEP = 32
-#: Comments that lend sentences and items to the training set, chosen by a hash; training windows and their length.
-FIT_COMMENTS, FIT_WINDOWS, FIT_LENGTH = 12_000, 3_600, 112
-EPOCHS = 13
-#: By how much a label other than none is preferred when reading; the exact check follows.
-LEAN = 2.0
-
-# --- forms of items (the exact check) -------------------------------------------------------------------------------
-_TLD = r"(?:example|test|invalid|com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|pt|eu|at|ch|be)"
-_LOCAL = r"[\w.+-]*\w"
-_EMAIL = (
-    rf"{_LOCAL} ?@ ?[\w-]+(?:\.[\w-]+)+"
-    rf"|{_LOCAL} ?(?:\[at\]|\(at\)|\{{at\}}|<at>) ?[\w-]+(?:(?:\.| ?(?:\[dot\]|\(dot\)|\{{dot\}}) ?| dot )[\w-]+)+"
-    rf"|{_LOCAL} at [\w-]+(?: dot [\w-]+)+|{_LOCAL} at (?:[\w-]+\.)+{_TLD}\b"
-)
-_SEP = r"[ .‑–-]"
-_PHONE = (
-    rf"(?:\+?1{_SEP}?)?(?:\(\d{{3}}\) ?|\d{{3}}{_SEP})\d{{3}}{_SEP}\d{{4}}|\d{{3}} 555 \d{{2}} \d{{2}}|\+?1\d{{10}}"
-    r"|\(?0[1-9]\d{1,3}\)?[ /-]\d{3,8}(?:[ -]\d{2,6})?|0\d(?:[ .]\d{2}){4}|\+\d{1,3}(?:[ .‑-]?\(?\d{1,8}\)?){1,6}|0\d-\d{4} \d{4}|0\d{9,10}"
-    r"|[679]\d{2} \d{2} \d{2} \d{2}|[679]\d{2} \d{3} \d{3}|3\d{2} \d{6,7}|3\d{2} \d{3} \d{4}"
-)
-_ID = (
-    r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{2}-\d{7}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{6,9}[A-Z]?|\d{8} \d [A-Z]{2}\d|\d{8}-?[A-Z]"
-    r"|\d{2,3}/\d{3}/\d{4,5}|\d \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?|\d{11,15}|\d{4}\.\d{2}\.\d{3}|\d{3} \d{3} \d{3}|\d{9}|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]"
-)
-_CAP = r"[A-ZÀ-Þ][\wÀ-ÿ'’]*"
-_NO = r"\d{1,4}(?: ?[A-Za-z]\b)?"
-_TOWN_EN = rf"(?:,? (?:in )?{_CAP}(?: (?:[A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}|\d{{4,5}}))?)?"
-_TOWN = rf"(?:,? (?:\d{{4,5}}(?:-\d{{3}})?(?: ?[A-Z]{{2}})? {_CAP}|(?:in |en |em |a |te )?{_CAP}))?"
-_ADDRESS = (
-    rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+\w?, )?{_NO} (?:(?:north|south|east|west) )?[\w'-]+(?: [\w'-]+)? (?:street|st\b\.?|road|rd\b\.?|avenue|ave\b\.?|lane|ln\b\.?|drive|dr\b\.?|court|ct\b\.?|close|row|terrace|place|blvd\.?|boulevard|way|square)(?:,? (?:apt|flat|unit)\.? \d+\w?)?{_TOWN_EN}"
-    rf"|[A-ZÄÖÜ][\wÄÖÜäöüß-]*(?:weg|straße|strasse|str\.|platz|allee|gasse|straat|laan|plein|gracht|kade|dijk|steeg) {_NO}{_TOWN}"
-    rf"|(?:calle|avenida|plaza|paseo|piazza|via|viale|corso|rua|travessa|praça|largo|corso|vicolo)(?: (?:de la|de|da|do|di|del|della|des))? {_CAP}(?: {_CAP})?,? {_NO}{_TOWN}"
-    rf"|{_NO},? (?:bis )?(?:rue|avenue|boulevard|place|allée|chemin|impasse|quai)(?: (?:de la|du|des|de))? {_CAP}(?: {_CAP})?{_TOWN}"
-)
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sr|Sra|Monsieur|Madame|Mme|Signora?|Sig|Senhora?|Meneer|Mevrouw)\b\.?"
-_SURNAME = r"(?:(?:van|von|de|da|di|del|der|den|ter|el)\s){0,2}[A-ZÀ-Þ][a-zà-ÿ'’]+(?:-[A-ZÀ-Þ][a-zà-ÿ'’]+)?"
-_NAME = rf"{_TITLE} (?:[A-ZÀ-Þ][a-zà-ÿ]+ )?{_SURNAME}|[A-ZÀ-Þ][a-zà-ÿ]+(?: [A-Z]\.)? {_SURNAME}"
-#: Words before a bare number that make it something else than a person's.
-_OTHER = re.compile(r"(?:ticket|order|part|serial|catalogue|code|version|page|invoice|tracking|model|item|score|number plate|bestellung|pedido|commande|ordine|artikel)(?:\s+(?:number|no\.?|nr\.?|code))?[\s:#]*$", re.I)
-_PERSONAL = re.compile(r"(?:id|ssn|passport|licen[cs]e|security|tax|insurance|card|fiscal|fiscale?|ausweis\w*|steuer\w*|dni|cidad\w*|burgerservice\w*|identit\w*|codice|cart[aã]o?|no\.?|nummer|número|numéro|number|national)\W+(?:\w+\W+){0,3}$", re.I)
-_CALL = re.compile(r"(?:call|ring|text|tel|phone|cell|mobile|whatsapp|number|ruf|unter|appelle|llama|llámame|liga|chiama\w*|bel|zessen|nummer|número|numéro|numero)\b", re.I)
-#: Words that begin a sentence or a title and aren't given names.
-_NOT_GIVEN = frozenset("the a an i my our your his her their some every this that these those moon lake prime velko market street harbor tarbrook thanks ask call text send my meet pick return page order ticket part between sadly".split())
-_FORMS = {k: re.compile(rf"(?<![\w@])(?:{v})(?!\w)", re.I if k in ("email", "address") else 0) for k, v in zip(TYPES, (_EMAIL, _PHONE, _ID, _ADDRESS, _NAME))}
-#: Forms that leave no doubt which kind of number it is.
-_PLAIN = {"id_number": re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{1,2} ?\d{2} ?\d{2} ?\d{2}.*|\d{2}/\d{3}/\d{4,5}"), "phone": re.compile(r"\+.+|\(.+|\d{3}[ .‑-]\d{3}[ .‑-]\d{4}|1\d{10}|0\d{2,4} \d{3,8}(?: \d+)?")}
-
-
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """All stretches of text that have the form of an item, with its type; they may overlap."""
-    return [(m.start(), m.end(), k) for k, form in _FORMS.items() for m in form.finditer(text)]
+#: Comments that lend sentences to the training set, chosen by a hash; training windows and their length; rounds over them.
+FIT_COMMENTS, FIT_WINDOWS, FIT_LENGTH, EPOCHS = 8_000, 12_000, 112, 9
+#: Characters between two stretches of one type that are one item.
+GAP = 3
 
 
 def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def confirmed(text: str, tags: np.ndarray, common: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """Items of a text given the label of each character: stretches that have a type's form, that the labels back, and that
-    don't overlap; of overlapping ones the best backed and longest stays. A name that begins with neither a title nor a known
-    given name must be fully backed and must not end in one of the common words."""
-    found = []
-    for a, b, k in candidates(text):
-        mine = tags[a:b]
-        marked = mine[mine > 0]
-        if not len(marked):
+# --- from labels to items -------------------------------------------------------------------------------------------
+_AT = re.compile(r"\w\s?(?:@|[\[({<]?\s?\bat\b\s?[\])}>]?)\s?\w.*?(?:\.|\bdot\b)\s?[\])}>]?\s?\w", re.I)
+#: Titles of persons in seven languages.
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Señora?|Sr|Sra|Don|Doña|Monsieur|Madame|Mme|Mlle|Signora?|Sig|Senhora?|Dona|Meneer|Mevrouw|Dhr|Mevr)"
+_PERSON = re.compile(rf"(?:{_TITLE}\.? )?[^\W\d_][\w'’-]*\.?(?: [^\W\d_][\w'’-]*\.?)+")
+_INITIAL = re.compile(r"\s[A-ZÀ-Þ]\.? [A-ZÀ-Þ][\w'’-]+")
+_TITLED = re.compile(rf"{_TITLE}\.? [^\W\d_]")
+
+
+#: Words for streets in lower case, and words no name begins with.
+_STREET = re.compile(r"\b(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|court|ct|close|row|terrace|place|boulevard|blvd|way|square|crescent|hill|rue|calle|via|rua|piazza|plaza)\b|(?:straße|strasse|str|weg|allee|platz|gasse|straat|laan|plein|gracht|kade|dijk)\b", re.I)
+_NO_NAME = frozenset("the a an this that these those my our your his her their i we you he she it der die das ein eine el los las un una le les des il lo gli o os as het een zum zur im am".split())
+
+
+def _groups(item: str) -> list[tuple[int, ...]]:
+    """Lengths of the groups of digits of a number, with and without what may be a country code."""
+    groups = tuple(len(g) for g in re.findall(r"\d+", item))
+    return [groups] + ([groups[1:]] if item.lstrip("(").startswith(("+", "00")) or (groups and groups[0] == 1) else [])
+
+
+@functools.cache
+def _plans() -> frozenset[tuple[int, ...]]:
+    """Lengths of the groups of digits of the published forms of phone numbers."""
+    return frozenset(g for f in _Maker.PHONES for g in _groups(f))
+
+
+def possible(kind: str, item: str) -> bool:
+    """Whether what stands there can be an item of its type at all."""
+    n = _digits(item)
+    if kind == "email":
+        return bool(_AT.search(item))
+    if kind == "phone":
+        return sum(c.isalpha() for c in item) < 4 and any(x in _plans() for x in _groups(item))
+    if kind == "id_number":
+        return n >= 5 and 7 <= sum(c.isalnum() for c in item) <= 24
+    if kind == "address":
+        return n >= 1 and bool(_STREET.search(item) or re.search(r"(?:^|[^\w'’])[A-ZÀ-Þ][^\W\d_]{2}", item))
+    words = item.split()
+    if any(w.endswith(".") and len(w) > 2 and not re.fullmatch(_TITLE + r"\.", w) for w in words):
+        return False  # a sentence ends there
+    if words and words[0].lower() in _NO_NAME:
+        return False
+    return bool(_PERSON.fullmatch(item)) and 2 <= len(words) <= 6 and words[-1][:1].isupper() and (words[0][:1].isupper() or bool(_TITLED.match(item)))
+
+
+def items_of(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """Items of a text given the label of each character, in text order; they don't overlap.
+
+    A stretch is made whole at word boundaries and loses blanks and signs at its ends; stretches of one type with little between
+    them are one; of two kinds of label inside one run of digits the one with more characters counts.
+    """
+    change = np.flatnonzero(np.diff(tags)) + 1
+    edges = [0, *change.tolist(), len(tags)]
+    runs = [[a, b, int(tags[a]), b - a] for a, b in zip(edges, edges[1:]) if tags[a]]
+    whole = []
+    for run in runs:
+        a, b = run[0], run[1]
+        mail = TYPES[run[2] - 1] == "email"
+        inside = (lambda c: not c.isspace() and c not in "<>()[]{},;:\"'") if mail else str.isalnum
+        while a > 0 and inside(text[a - 1]) and inside(text[a]):
+            a -= 1
+        while b < len(text) and inside(text[b]) and inside(text[b - 1]):
+            b += 1
+        while a < b and not (text[a].isalnum() or (text[a] in "+(" and run[2] == 2)):
+            a += 1
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+        if run[2] == 5 and (more := _INITIAL.match(text, max(a, b - 2))):
+            b = more.end()  # a name that stopped at an initial
+        if b <= a:
             continue
-        own = float((mine == 1 + TYPES.index(k)).mean())
-        if k == "person_name":
-            first, last = text[a:b].split()[0], text[a:b].split()[-1].lower()
-            known = first in _KNOWN or re.match(_TITLE, first)
-            if own < (0.2 if known else 0.95) or first.lower() in _NOT_GIVEN or (not known and (last in common or first.lower() in common)):
-                continue
-        elif k in ("phone", "id_number"):
-            before = text[max(0, a - 40) : a]
-            n = _digits(text[a:b])
-            if n < 6 or _OTHER.search(before) or (k == "phone" and not 8 <= n <= 15):
-                continue
-            numbers = (mine == 1 + TYPES.index("phone")) | (mine == 1 + TYPES.index("id_number"))
-            if _PLAIN[k].fullmatch(text[a:b]):
-                numbers = mine > 0
-                own = float(numbers.mean())
-            if numbers.mean() < 0.1 or own < 0.4 * numbers.mean() or _PLAIN["phone" if k == "id_number" else "id_number"].fullmatch(text[a:b]):
+        if whole:
+            last = whole[-1]
+            between = text[last[1] : a]
+            same = last[2] == run[2] and (len(between) <= GAP or (mail and len(between) <= 6)) and not re.search(r"[.!?]\s+\S*[A-Z]" if run[2] == 5 else r"[!?\n]", between)
+            numbers = {last[2], run[2]} <= {2, 3} and len(between) <= 2
+            if a < last[1] or same or numbers:
+                kind = last[2] if last[3] >= run[3] else run[2]
+                whole[-1] = [last[0], max(last[1], b), kind, last[3] + run[3]]
                 continue
-        elif own < 0.2:
-            continue
-        found.append((own * (b - a), b - a, a, b, k))
-    out: list[tuple[int, int, str]] = []
-    for _, _, a, b, k in sorted(found, key=lambda f: (-f[0], -f[1], f[2])):
-        if all(b <= c or d <= a for c, d, _ in out):
-            out.append((a, b, k))
-    return sorted(out)
+        whole.append([a, b, run[2], run[3]])
+    return [(a, b, TYPES[k - 1]) for a, b, k, _ in whole if possible(TYPES[k - 1], text[a:b])]
 
 
 # --- the network ----------------------------------------------------------------------------------------------------
@@ -146,6 +150,10 @@ _SYMBOL = _table()
 SYMBOLS = 104
 
 
+def _slope(y: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 - np.abs(2 * y - 1)) ** 2
+
+
 class Tagger:
     """Parameters: for each direction input table, recurrent matrix; output matrix; CRF transitions and starts."""
 
@@ -154,7 +162,6 @@ class Tagger:
         h = HIDDEN
         make = lambda *s: (rng.standard_normal(s) * 0.15).astype(np.float32)
         self.p = {}
-        self.common: frozenset[str] = frozenset()
         for d in ("f", "b"):
             self.p[d + "x"], self.p[d + "h"] = make(SYMBOLS, 4 * h), make(h, 4 * h)
             self.p[d + "x"][:, h : 2 * h] += 0.5  # forget less at first
@@ -163,20 +170,20 @@ class Tagger:
         self.p["t"] += 2 * np.eye(TAGS, dtype=np.float32)
 
     def _run(self, x: np.ndarray, d: str, keep: bool = False):
-        """Hidden states [T, B, H] over symbols [T, B], from front or back. All gates are tanh: half-scaled ones are sigmoids."""
+        """Hidden states [T, B, H] over symbols [T, B], from front or back. Activations are x / (1 + |x|), gates half of that plus a half."""
         h = HIDDEN
         wx, wh = self.p[d + "x"], self.p[d + "h"]
-        scale = np.full(4 * h, 0.5, np.float32)
-        scale[3 * h :] = 1
-        wx, wh = wx * scale, wh * scale
         steps, lanes = x.shape
         out = np.empty((steps, lanes, h), np.float32)
         state, cell = np.zeros((lanes, h), np.float32), np.zeros((lanes, h), np.float32)
         saved = []
+        room, small = np.empty((lanes, 4 * h), np.float32), np.empty((lanes, h), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             g = wx[x[t]]
-            g += state @ wh
-            np.tanh(g, out=g)
+            g += np.matmul(state, wh, out=room)
+            np.abs(g, out=room)
+            room += 1
+            g /= room
             s = g[:, : 3 * h]
             s *= 0.5
             s += 0.5
@@ -184,7 +191,9 @@ class Tagger:
             before, last = cell, state
             cell = f * cell
             cell += i * c
-            th = np.tanh(cell)
+            np.abs(cell, out=small)
+            small += 1
+            th = cell / small
             state = np.multiply(o, th, out=out[t])
             if keep:
                 saved.append((t, g, before, th, last))
@@ -194,7 +203,7 @@ class Tagger:
         h = HIDDEN
         return self._run(x, "f") @ self.p["o"][:h] + self._run(x, "b") @ self.p["o"][h:] + self.p["ob"]
 
-    def decode(self, x: np.ndarray, lean: float = LEAN) -> np.ndarray:
+    def decode(self, x: np.ndarray, lean: float = 0.0) -> np.ndarray:
         """Viterbi labels [T, B]."""
         e, trans = self.emissions(x), self.p["t"]
         e[:, :, 0] -= lean
@@ -253,23 +262,25 @@ class Tagger:
         grad = {"t": ((pair - seen) / n).astype(np.float32), "ob": de.sum(axis=(0, 1))}
         flat = de.reshape(-1, k)
         grad["o"] = np.concatenate([hf.reshape(-1, h).T @ flat, hb.reshape(-1, h).T @ flat])
+        onehot_x = np.eye(SYMBOLS, dtype=np.float32)[x.ravel()]
         for d, saved, part in (("f", sf, p["o"][:h]), ("b", sb, p["o"][h:])):
             dh_all = de @ part.T
-            gx, gh = np.zeros((SYMBOLS, 4 * h), np.float32), np.zeros((h, 4 * h), np.float32)
+            every, gh = np.empty((steps, lanes, 4 * h), np.float32), np.zeros((h, 4 * h), np.float32)
             dh, dc = np.zeros((lanes, h), np.float32), np.zeros((lanes, h), np.float32)
             for t, g, before, th, last in reversed(saved):
                 i, f, o, c = g[:, :h], g[:, h : 2 * h], g[:, 2 * h : 3 * h], g[:, 3 * h :]
                 dh = dh + dh_all[t]
-                dc = dc + dh * o * (1 - th * th)
-                dg = np.concatenate([dc * c * i * (1 - i), dc * before * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - c * c)], axis=1)
-                np.add.at(gx, x[t], dg)
+                dc = dc + dh * o * (1 - np.abs(th)) ** 2
+                # the slope of a gate y is half of (1 - |2y - 1|) squared, that of the input (1 - |c|) squared
+                dg = np.concatenate([dc * c * _slope(i), dc * before * _slope(f), dh * th * _slope(o), dc * i * (1 - np.abs(c)) ** 2], axis=1)
+                every[t] = dg
                 gh += last.T @ dg
                 dh, dc = dg @ p[d + "h"].T, dc * f
-            grad[d + "x"], grad[d + "h"] = gx, gh
+            grad[d + "x"], grad[d + "h"] = onehot_x.T @ every.reshape(-1, 4 * h), gh
         return float(logz - gold) / n, grad
 
 
-def train(texts: list[str], spans: list[list[tuple[int, int, str]]], *, epochs: int = EPOCHS, batch: int = 120, rate: float = 0.02, length: int = FIT_LENGTH, seed: int = 7) -> Tagger:
+def train(texts: list[str], spans: list[list[tuple[int, int, str]]], *, epochs: int = EPOCHS, batch: int = 160, rate: float = 0.02, length: int = FIT_LENGTH, seed: int = 7) -> Tagger:
     """Adam over windows of `length` characters of the texts, around their items where they have some."""
     rng = np.random.default_rng(seed)
     xs, ys, ms = [], [], []
@@ -308,24 +319,85 @@ def train(texts: list[str], spans: list[list[tuple[int, int, str]]], *, epochs:
 
 
 # --- labelled spans -------------------------------------------------------------------------------------------------
-#: Given names, parts of invented names, and sentences with items ({n}ame, {e}mail, {p}hone, {i}d, {a}ddress) or none.
-_GIVEN = "Anna Ben Carla David Elena Felix Grace Hugo Ines Jonas Karin Leon Maria Nora Oscar Paul Rosa Simon Tomas Victor Will Mark May Amir Priya Mei Kofi Yusuf Olga Lars Greta Heather Daniel Alice Peter Julia Laura Martin Sofia Irene Helen Nadia Marta Erik Bruno Clara Omar Lucia Pedro Chiara Sanne Bram Ivan Fatima Chen Aisha James Emma Liam Noah Zoe".split()
-_KNOWN = frozenset(_GIVEN)
-_PARTS = "hol tok bren mar kav sol den lor tor vin kan nor pel ris gra ven zel mir bar wick stad quil fen pim mund yor hart jun lix gor dro qua esh san rin sta hus wen nef tul vel fal beck win dal ros ham ley ton ber mil".split()
-_ENDS = "ick by ini ov low son ett er ano ez mann sen ski berg ova well field".split()
-_SAID = """my name is {n}.|the guy behind the account is {n}.|I went to school with {n}|ask for {n} at the desk|thanks to {n} for the lift|the form was signed by {n}.|my landlord {n} refuses to pay.|{n} from the parking office told me|ich heiße {n}.|frag am Schalter nach {n}.|me llamo {n}.|pregunta por {n} en la entrada.|
-je m'appelle {n}.|demande {n} à l'accueil.|chamo-me {n}.|pergunta por {n} na receção.|mi chiamo {n}.|chiedi di {n} allo sportello.|ik heet {n}.|vraag aan de balie naar {n}.|you can reach me at {e}.|contact: {e},|my old account was {e} back then.|{e} is where the refund confirmation went.|anyone with the same issue, mail {e} directly.|
-I got it from {e} , no idea who that is.|send a picture to {e} please|just write to {e} and I will send the list|schreib mir einfach an {e}.|meine Adresse für Rückfragen ist {e}.|escríbeme a {e}.|mi correo para esto es {e}|écris-moi à {e}.|mon courriel pour ça est {e}.|escreve-me para {e}.|scrivimi a {e}.|la mia posta per questo è {e}|schrijf me gewoon op {e}.|
-call me on {p} after six|my number is {p}.|text {p} if you want the spare ticket|ring {p} and ask for the manager|whatsapp me {p}.|the seller gave {p} as a mobile.|his cell is {p} , tell him I sent you|tel. {p}|ruf mich nach sechs unter {p} an|meine Nummer ist {p}.|llámame al {p} después de las seis|mi número es el {p}.|appelle-moi au {p} après six heures|mon numéro est le {p}.|
-liga-me para o {p} depois das seis|o meu número é o {p}.|chiamami al {p} dopo le sei|il mio numero è {p}|bel me na zessen op {p}|mijn nummer is {p}.|SSN: {i}.|my social security number is {i}|he posted his national ID {i} here|her ID card {i} expired|driving licence {i} was rejected twice|passport no. {i} was already in the system|the letter shows my tax ID {i} in plain sight|
-they printed {i} as the national insurance number on the form.|meine Ausweisnummer ist {i}|auf dem Brief steht meine Steuernummer {i}.|mi número de DNI es {i}.|la carta muestra mi número fiscal {i}|ma carte d'identité est {i}.|la lettre montre mon numéro fiscal {i}|o meu cartão de cidadão é o {i}.|a carta mostra o meu número fiscal {i}|il mio numero di carta d'identità è {i}|la lettera mostra il mio codice fiscale {i}|mijn burgerservicenummer is {i}.|op de brief staat mijn fiscaal nummer {i}|
-I live at {a}.|send it to {a} please|they delivered to {a} instead|the house is {a}|his place, {a} , is empty now|return address: {a}.|pick it up from {a} this evening|meet me outside {a}.|ich wohne in der {b}.|bitte schick es an {b}.|vivo en {b}.|mándalo a {b} por favor|j'habite au {b}.|envoie-le au {b}, s'il te plaît|eu moro na {b}.|manda para a {b} por favor|abito in {b}.|spediscilo in {b} per favore|ik woon op {b}.|stuur het naar {b} alsjeblieft|
-ticket number {9}{9}{9}{9}{9}{9}{9}{9}{9} is closed.|order {9}{9}{9}-{9}{9}{9}{9}-{9}{9} never left the warehouse.|part number {9}{9}-{9}{9}{9}-{9}{9}{9}{9} is the one you want.|I am still on version {9}{9}{9}.{9}{9}{9}{9}.{9}{9} and it holds.|the catalogue code {9}{9}{9}-{9}{9} changed.|we met on 20{9}{9}-0{9}-1{9} near the fountain.|it cost {9}{9}{9},{9}{9}{9}{9} dollars all in.|at 1{9}:1{9} there were {9}{9}{9}{9} people in line.|serial {u}{9}{9}{9}{9} was recalled.|thanks @{u} for the tip.|ping u/{u} or look in r/{u} instead.|page {9}{9}{9}{9} of the manual mentions it twice.|
-the final score was {9}{9}-{9} in the end.|the {U} Prime {9}{9}{9}{9} is overpriced.|I read Moon Over {U} twice this year.|the {U} Harbor line is late again.|Lake {U} Road Race starts at {9}.|thanks {g}, that helped.|{g} and {g} are both fine names for a cat.|our dog {g} ate page {9}{9}.|the street fair on {U} Street was fun.|write to the mods via the form, not by mail.|dial the emergency line, do not post here.|a grace period of 1{9} days is normal.|will it mark the surface, and may I return it.|{U} people|{g} said so.|the {U} Museum opens at {9}.|on day {9}{9} it rained for {9}{9} kilometres.""".replace("\n", "").split("|")
+#: Common given names of many countries, common surnames, and syllables and ends of which rarer ones are made.
+_GIVEN = """Adam Adrian Agnes Ahmed Aisha Alan Albert Alejandra Alex Alice Amir Ana Andrea Andrew Angela Anna Antonio Arthur Astrid Beatriz Ben Bernard Björn Bram Brian Bruno
+Camille Carla Carlos Caroline Catherine Chen Chiara Chloé Christian Clara Claudia Daan Daniel David Diego Dieter Dmitri Eduardo Elena Elif Elisa Elizabeth Emma Eric Erik Eva Fatima Felix Fernando
+Francesca François Frank Friedrich Gabriel George Giulia Giovanni Grace Greta Guillermo Hannah Hans Harry Hassan Heather Helen Henrik Hugo Ibrahim Ines Ingrid Irene Isabel Ivan Jack Jacob James Jan
+Jasper Javier Jean Joana João John Jonas Jorge José Juan Julia Karen Karin Kevin Klaus Kofi Lars Laura Lena Leon Liam Linda Lisa Lotte Louis Luca Lucia Luis Maria Marie Mark Marta Martin Mary Mateo
+Matthew Mehmet Mei Michael Miguel Mohammed Monika Nadia Natalia Nicolas Nina Noah Nora Olga Oliver Omar Oscar Pablo Paolo Patricia Paul Pedro Peter Petra Philip Pierre Priya Rachel Raj Ravi Robert Roberto
+Rosa Ruth Samuel Sandra Sanne Sara Simon Sofia Sophie Stefan Susan Sven Tanja Thomas Tiago Tomas Ursula Victor Vincent Walter Wei Will William Yuki Yusuf Zoe""".split()
+_SURNAMES = """Smith Jones Brown Taylor Wilson Johnson Miller Davis Clark Wright Müller Schmidt Schneider Fischer Weber Becker Hoffmann García López Martínez Fernández Sánchez Pérez Martin Bernard Dubois
+Durand Lefebvre Moreau Rossi Russo Ferrari Bianchi Romano Silva Santos Ferreira Pereira Oliveira Jansen Visser Bakker Smit Meijer Nguyen Kim Lee Patel Khan Kowalski Novak Ivanov Larsen""".split()
+_ONSET, _VOWEL, _CODA = "b br c ch d dr f fl g gr h j k kl l m n p pl qu r s sh st t tr v w y z".split(), "a e i o u a e o ai ei ou".split(), "l n r s t m ck nd rt x st ll nn rk ng mb sh".split()
+_ENDS = "er ic son sen ini ez ov ova ski mann berg ard elli eau ier ano well ton ford field by wood dorf stein ak uk as es ick ett low".split()
+_PLACE_ENDS = "ton ham ford burg dorf stad ville heim mont port field mouth bach haven wick ley dam mund".split()
+#: Fixed values, by language: words that lead up to an item of a type, and to a number that is nobody's ("no").
+_LEAD = {
+    "en": {
+        "person_name": "I spoke to|my neighbour|our manager|written by|a man called|my name is|signed|her cousin|ask for|the owner,|thank you|greetings from|Dear|our doctor|met|says|the tenant|hired|I know",
+        "email": "mail|e-mail|email:|write to|reach me at|send the files to|forward it to|contact|my address is|address:|account|drop a line to|reply to",
+        "phone": "phone|call|call me at|my number|tel.|Tel:|mobile|cell|text|ring|dial|fax|his number is|number:|WhatsApp|reach us on|contact number|landline|phoned from",
+        "id_number": "SSN|social security|social security number|passport|passport number|passport no.|tax number|tax id|driver's licence|driving licence no.|licence number|national id|id card|identity card|identity number|national insurance|insurance number|ID:",
+        "address": "lives at|home is|address:|ship to|send to|moved to|deliver it to|house at|office at|flat at|come to|parcel for|meet at|from",
+        "thing": "the|The|the|The|our|at the|near the|in|about|read|watched|visited|a|this|called the",
+        "no": "order|ticket|invoice|part|serial|model|version|code|page|room|tracking|price|score|release|build|case|article|item|chapter|catalogue|reference|booking|flight|bug|about|roughly|population|in|from|until|on|it cost|paid|there were|at|worth|scored|counted",
+    },
+    "de": {
+        "person_name": "mein Nachbar|ich heiße|unterschrieben von|die Ärztin|frag|laut|mit|von|der Chef,|Grüße von",
+        "email": "E-Mail:|schreib an|Mail an|meine Adresse|erreichbar unter|Kontakt:",
+        "phone": "Telefon|Tel.|Handy|Handynummer|ruf an unter|anrufen:|meine Nummer|Festnetz|erreichbar unter",
+        "id_number": "Ausweis|Ausweisnummer|Personalausweis|Reisepass|Steuer-ID|Steuernummer|Führerschein|Sozialversicherungsnummer|Passnummer",
+        "address": "wohnt in der|Adresse:|schick es in die|Anschrift|Büro in der|Haus in der|Lieferung an",
+        "no": "Bestellung|Bestellnummer|Rechnung|Artikel|Ticket|Version|Seite|Seriennummer|Preis|Modell|Sendung|Raum|Kapitel",
+    },
+    "es": {
+        "person_name": "mi vecino|se llama|firmado por|pregunta por|según|con|la doctora|saludos de",
+        "email": "correo:|escribe a|mi correo es|envía a|contacto:",
+        "phone": "teléfono|tel.|móvil|llama al|mi número es|llámame al|fijo|número de teléfono",
+        "id_number": "DNI|NIE|pasaporte|número de pasaporte|número fiscal|carnet de conducir|documento de identidad|seguridad social",
+        "address": "vive en|dirección:|enviar a|oficina en|la casa de|domicilio",
+        "no": "pedido|factura|artículo|versión|página|billete|precio|modelo|código|sala|capítulo|envío",
+    },
+    "fr": {
+        "person_name": "mon voisin|je m'appelle|signé|demandez|selon|avec|le docteur,|salutations de",
+        "email": "courriel :|écris à|mon adresse|envoyez à|contact :",
+        "phone": "téléphone|tél.|portable|appelle le|mon numéro est le|numéro :|joignable au|fixe",
+        "id_number": "carte d'identité|passeport|numéro de passeport|numéro fiscal|permis de conduire|sécurité sociale|numéro de sécurité sociale",
+        "address": "habite au|adresse :|envoyer au|bureau au|la maison du|livrer au",
+        "no": "commande|facture|article|version|page|billet|prix|modèle|code|salle|chapitre|colis",
+    },
+    "it": {
+        "person_name": "il mio vicino|mi chiamo|firmato|chiedi di|secondo|con|la dottoressa|saluti da",
+        "email": "posta:|scrivi a|la mia mail è|manda a|contatto:",
+        "phone": "telefono|tel.|cellulare|chiama il|il mio numero è|numero:|fisso|chiamami al",
+        "id_number": "codice fiscale|carta d'identità|passaporto|numero di passaporto|patente|tessera sanitaria|documento",
+        "address": "abita in|indirizzo:|spedisci in|ufficio in|la casa di|consegna in",
+        "no": "ordine|fattura|articolo|versione|pagina|biglietto|prezzo|modello|codice prodotto|sala|capitolo|pacco",
+    },
+    "pt": {
+        "person_name": "o meu vizinho|chamo-me|assinado por|pergunta por|segundo|com|a doutora|cumprimentos de",
+        "email": "correio:|escreve para|o meu e-mail é|envia para|contacto:",
+        "phone": "telefone|tel.|telemóvel|liga para o|o meu número é o|número:|fixo|ligar",
+        "id_number": "cartão de cidadão|NIF|número fiscal|passaporte|número do passaporte|carta de condução|bilhete de identidade|contribuinte",
+        "address": "mora na|morada:|enviar para a|escritório na|a casa da|entregar na",
+        "no": "encomenda|fatura|artigo|versão|página|bilhete|preço|modelo|código do produto|sala|capítulo|pacote",
+    },
+    "nl": {
+        "person_name": "mijn buurman|ik heet|getekend door|vraag naar|volgens|met|de dokter,|groeten van",
+        "email": "mail naar|schrijf naar|mijn adres is|stuur naar|contact:",
+        "phone": "telefoon|tel.|mobiel|bel|mijn nummer is|nummer:|bereikbaar op|vast nummer",
+        "id_number": "burgerservicenummer|BSN|paspoort|paspoortnummer|rijbewijs|identiteitskaart|fiscaal nummer|sofinummer",
+        "address": "woont op de|adres:|stuur naar|kantoor op de|het huis aan de|bezorgen op",
+        "no": "bestelling|factuur|artikel|versie|pagina|kaartje|prijs|model|productcode|zaal|hoofdstuk|pakket",
+    },
+}
+#: What may stand before a made name that is no person's.
+_THING = "Lake Mount River Hotel Café Port Saint Planet Project Team Studio Radio Club Super Mega Hyper New North Old Grand Royal Royal Fort Castle Cape Camp".split()
+_AFTER = "Museum Prize Valley Station Hotel Bridge Airport Festival Cup Park Theatre Institute Harbour Records Games Motors Pro Max Plus Prime Series Deluxe Edition University Library Market Tower Race Line".split()
 
 
 class _Maker:
-    """Draws items of each type."""
+    """Draws items of each type: (text with the item, where it begins, where it ends)."""
 
     def __init__(self, seed: int):
         self.r = np.random.default_rng(seed)
@@ -336,112 +408,192 @@ class _Maker:
     def d(self, n: int) -> str:
         return "".join(str(x) for x in self.r.integers(0, 10, n))
 
-    def stem(self, lo: int = 2, hi: int = 3) -> str:
-        return "".join(self.of(_PARTS) for _ in range(self.r.integers(lo, hi + 1)))
+    def letters(self, n: int) -> str:
+        return "".join(self.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+
+    def form(self, pattern: str) -> str:
+        """9: a digit, 8: one of 1 to 9, A: a capital; the rest as it stands. Some numbers have long runs of zeros."""
+        zeros = self.r.random() < 0.25
+        out = "".join(("0" if zeros and self.r.random() < 0.6 else self.d(1)) if c == "9" else str(self.r.integers(1, 10)) if c == "8" else self.letters(1) if c == "A" else c for c in pattern)
+        return out.replace("-", "‑") if self.r.random() < 0.05 else out
+
+    def stem(self, lo: int = 1, hi: int = 3) -> str:
+        return "".join(self.of(_ONSET) + self.of(_VOWEL) + (self.of(_CODA) if self.r.random() < 0.6 else "") for _ in range(self.r.integers(lo, hi + 1)))
 
     def place(self) -> str:
-        return self.stem().capitalize()
+        return (self.stem(1, 2) + (self.of(_PLACE_ENDS) if self.r.random() < 0.5 else "")).capitalize()
 
     def surname(self) -> str:
-        s = self.stem(1, 2).capitalize() + self.of(_ENDS)
-        return s + "-" + self.stem(1, 2).capitalize() + self.of(_ENDS) if self.r.random() < 0.15 else s
-
-    def n(self) -> str:
         k = self.r.random()
-        if k < 0.15:
-            return self.of(("Mr.", "Mrs", "Ms", "Dr.", "Herr", "Frau", "Mr", "Mrs.")) + " " + self.surname()
-        given = self.of(_GIVEN) if k < 0.9 else self.stem(1, 2).capitalize()
-        return given + (f" {self.of('ABCDEKLMPRST')}." if self.r.random() < 0.1 else "") + " " + self.surname()
-
-    def e(self) -> str:
-        local = self.of((self.of(_GIVEN).lower() + self.of((".", "-", "_", "")) + self.stem() + self.of(("", self.d(1), self.d(2))), self.of("abcdefgh") + self.stem() + self.of(_ENDS), self.stem() + "_" + self.d(3), self.of(_GIVEN).lower() + "+forum"))
-        host = self.of(("example", "mail.example", "inbox", "tarbrook", "lists.example", "post.example", "kontor", self.stem())).split(".") + [self.of(("com", "org", "net", "test", "invalid", "example", "de"))]
-        at, dot = self.of((("@", "."),) * 7 + ((" [at] ", " [dot] "), ("(at)", "."), (" at ", " dot "), (" @ ", "."), ("[at]", "[dot]")))
+        s = self.of(_SURNAMES) if k < 0.2 else (self.stem(1, 2) + (self.of(_ENDS) if k < 0.85 else "")).capitalize()
+        if self.r.random() < 0.06:
+            s = self.of(("van", "von", "de", "da", "di", "del", "van der", "de la")) + " " + s
+        return s + "-" + (self.stem(1, 2) + self.of(_ENDS)).capitalize() if self.r.random() < 0.12 else s
+
+    def person_name(self) -> str:
+        if self.r.random() < 0.18:
+            return self.of(("Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr", "Dr.", "Herr", "Frau", "Señor", "Señora", "Sr.", "Monsieur", "Madame", "Mme", "Signor", "Signora", "Senhor", "Senhora", "Meneer", "Mevrouw", "Prof.")) + " " + self.surname()
+        given = self.of(_GIVEN) if self.r.random() < 0.92 else self.stem(1, 2).capitalize()
+        return given + (f" {self.letters(1)}." if self.r.random() < 0.12 else "") + " " + self.surname()
+
+    def email(self) -> str:
+        first, last = self.of(_GIVEN).lower(), (self.stem(1, 2) + self.of(_ENDS)).lower()
+        local = self.of((first + self.of((".", "-", "_", "")) + last, first[0] + last, last, first, last + "_" + self.d(self.r.integers(1, 4)), first + "+" + self.stem(1, 2), first + "." + last + self.d(self.r.integers(1, 3)), last + self.d(self.r.integers(1, 4))))
+        host = [self.of(("example", "mail", "post", "inbox", "lists", "web", self.stem(1, 2), self.stem(1, 3), self.stem(2, 3)))]
+        if self.r.random() < 0.2:
+            host.append(self.of(("example", "mail", self.stem(1, 2))))
+        host.append(self.of(("com", "org", "net", "de", "fr", "es", "it", "nl", "pt", "uk", "eu", "info", "test", "example", "invalid")))
+        k = self.r.random()
+        at, dot = ("@", ".") if k < 0.55 else self.of(((" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" AT ", " DOT "), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "."), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" @ ", "."), ("@ ", "."), (" at ", "."), ("{at}", "."), ("<at>", "."), (" [at] ", "."), ("[at]", ".")))
         mail = local + at + dot.join(host)
-        return mail.upper() if self.r.random() < 0.12 else mail
-
-    def p(self) -> str:
-        d = self.d
-        return self.of((f"{d(3)}-555-0{d(3)}", f"({d(3)}) 555-0{d(3)}", f"+1 {d(3)}.555.0{d(3)}", f"{d(3)} 555 0{d(1)} {d(2)}", f"1{d(3)}5550{d(3)}", f"{d(3)}‑555‑0{d(3)}", f"020 7946 0{d(3)}", f"+44 7700 900{d(3)}", f"07700 900{d(3)}", f"+49 30 23125{d(3)}", f"030 23125 {d(3)}", f"0{d(3)}/{d(7)}", f"06 39 98 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"+33 1 99 00 {d(2)} {d(2)}", f"+351 910 000 {d(3)}", f"910 000 {d(3)}", f"+39 333 000 0{d(3)}", f"3{d(2)} {d(7)}", f"+34 6{d(2)} {d(3)} {d(3)}", f"6{d(2)} {d(2)} {d(2)} {d(2)}", f"06-{d(4)} {d(4)}", f"+31 6 {d(4)} {d(4)}"))
-
-    def i(self) -> str:
-        d = self.d
-        cap = lambda n: "".join(self.of("ABCDEFGHKLMNPRSTXYZ") for _ in range(n))
-        return self.of((f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"99-0{d(6)}", f"X00{d(6)}", f"QQ{d(6)}{cap(1)}", f"QQ {d(2)} {d(2)} {d(2)} {self.of('ABCD')}", f"L0{d(7)}", f"00/000/{d(5)}", f"0000{d(4)}-{cap(1)}", f"0000{d(4)}{cap(1)}", f"9 00 00 00 {d(3)} {d(3)}", f"0000{d(8)}", f"000 {d(3)} {d(3)}", f"0000{d(4)} {d(1)} ZZ{d(1)}", f"ZZ000{d(4)}", f"0000.{d(2)}.{d(3)}", f"000{d(6)}", f"{cap(6)}{d(2)}{cap(1)}{d(2)}{cap(1)}{d(3)}{cap(1)}"))
-
-    def a(self) -> str:
-        n, s, t = str(self.r.integers(1, 240)), self.place(), self.place()
-        kind = self.of(("Street", "Road", "Rd", "Avenue", "Ave", "Lane", "Drive", "Close", "Terrace", "St.", "Row"))
-        code = self.of(("", "", f" {self.d(5)}", f" ZZ{self.d(1)} {self.d(1)}QX"))
-        return self.of((f"{n} {s} {kind}, {t}{code}", f"{n} {s} {kind}, {t}{code}", f"{n}{self.of('AB')} {s} Court, {t}", f"Flat {self.d(1)}, {n} {s} Row, {t}", f"{n} north {s} blvd apt {self.r.integers(1, 30)} {t}", f"{n} {s.lower()} road in {t}"))
-
-    def b(self) -> str:
-        n, s, t, c = str(self.r.integers(1, 240)), self.place(), self.place(), "00" + self.d(3)
-        return self.of((f"{s}weg {n}, {c} {t}", f"{s}str. {n} in {t}", f"{s}straße {n}, {c} {t}", f"Calle {s} {n}, {c} {t}", f"Avenida de {s} {n}, {t}", f"{n} rue {s}, {c} {t}", f"{n} avenue de {s}, {c} {t}", f"Rua {s} {n}, 0{self.d(3)}-{self.d(3)} {t}", f"Avenida {s} {n}, {t}", f"Piazza {s} {n}, {t}", f"Via {s} {n}, {c} {t}", f"{s}straat {n}, 0{self.d(3)} ZZ {t}", f"{s}laan {n} in {t}"))
-
-    def u(self) -> str:
-        return self.stem()
-
-    def U(self) -> str:  # noqa: N802
-        return self.place()
-
-    def g(self) -> str:
-        return self.of(_GIVEN)
-
-
-_OF = {"n": "person_name", "e": "email", "p": "phone", "i": "id_number", "a": "address", "b": "address"}
+        return mail.upper() if self.r.random() < 0.1 else mail
+
+    #: How national and international numbers are written (North America, UK, DE, FR, ES, IT, PT, NL).
+    PHONES = (
+        "899-999-9999|(899) 999-9999|899.999.9999|899 999 9999|+1 899 999 9999|+1-899-999-9999|1-899-999-9999|+1 (899) 999-9999|+1899 9999999|18999999999|899 999 99 99|+1 899.999.9999|8999999999|(899)999-9999|"
+        "020 7999 9999|07999 999999|+44 7999 999999|+44 20 7999 9999|0161 999 9999|07999 999 999|01632 999999|(020) 7999 9999|"
+        "030 9999999|030 99999 999|0899 9999999|+49 30 9999999|+49 30 99999999|+49 179 9999999|0179 9999999|0179/9999999|(0899) 999999|0899/999999|+49 (0)899 999999|0899-9999999|"
+        "06 99 99 99 99|01 99 99 99 99|01.99.99.99.99|06.99.99.99.99|+33 6 99 99 99 99|+33 1 99 99 99 99|0699999999|"
+        "699 999 999|699 99 99 99|+34 699 999 999|919 99 99 99|+34 919 99 99 99|699999999|"
+        "399 9999999|399 999 9999|+39 399 999 9999|06 9999999|+39 06 99999999|399 999999|02 99999999|"
+        "919 999 999|+351 919 999 999|219 999 999|+351 219 999 999|969999999|"
+        "06-99999999|06 99999999|06-9999 9999|+31 6 99999999|+31 6 9999 9999|020-9999999|020 999 9999|+31 20 999 9999"
+    ).split("|")
+    #: How numbers of persons are written (social security, tax, insurance, passport, licence and card numbers of the same countries).
+    IDS = (
+        "999-99-9999|999 99 9999|999-99-9999|999 99 9999|99-9999999|A99999999|AA999999A|AA 99 99 99 A|AA 99 99 99 A|AA999999A|999999999|A9999999|AAAAA999999AA9AA|"
+        "99 999 999 999|99999999999|99/999/99999|999/999/99999|A99AA99A99|A99999999|AA9999999|99 999999 A 999|"
+        "8 99 99 99 999 999 99|8 99 99 99 999 999|899999999999999|999999999999|99AA99999|"
+        "99999999-A|99999999A|A-9999999-A|A9999999A|AAA999999|"
+        "AAAAAA99A99A999A|AA99999AA|AA9999999|AA9999999A|"
+        "999999999|999 999 999|99999999 9 AA9|999999999AA9|A999999|"
+        "999999999|9999.99.999|9999 99 999|AAAA99999|A99999999"
+    ).split("|")
+    #: What numbers that are nobody's look like.
+    OTHERS = "9|99|999|9999|99,999|9,999,999|99.99|9.99.999|9.9.9|999.9999.99|20-99-99|2099-09-19|19/19/2099|99:99|99-99|999-9999-99|99-999-9999|99999|999999|99999999|999999999|AA-9999|A9999|9999/99|aaaa9999|999-99|#99999|999,9999|9.999,99|999,999.99|999.999|99%|$999|999 999|99-999|999999-99|AAA-99999-A".split("|")
+
+    def phone(self) -> str:
+        return self.form(self.of(self.PHONES))
+
+    def id_number(self) -> str:
+        return self.form(self.of(self.IDS))
+
+    def no(self) -> str:
+        """A number that is nobody's; often it looks as one of a person might, and only the words before it tell."""
+        if self.r.random() < 0.4:
+            return self.form(self.of([f for f in self.IDS + self.PHONES if not re.search(r"[A+(./]|^0", f)]))
+        return self.form(self.of(self.OTHERS)).replace("aaaa", self.stem(2, 2))
+
+    def address(self, lang: str) -> str:
+        """House, street, and perhaps flat, code and town, as each country writes them."""
+        n = str(self.r.integers(1, 300)) + (self.of(("", "A", "B", "C", "a", "b")) if self.r.random() < 0.3 else "")
+        s, t = self.place(), self.place()
+        s = f"{s} {self.place()}" if self.r.random() < 0.08 else s
+        if lang == "en":
+            kind = self.of("Street St St. Road Rd Rd. Avenue Ave Ave. Lane Ln Drive Dr Court Ct Close Row Terrace Place Boulevard Blvd Way Square Crescent Hill".split())
+            if self.r.random() < 0.25:
+                s, kind = s.lower(), kind.lower()
+            if self.r.random() < 0.12:
+                s = self.of(("North", "South", "East", "West", "north", "south", "east", "west", "N", "S")) + " " + s
+            flat = self.of(("", "", "", f"Flat {self.d(1)}, ", f"Apt {self.d(2)}, ", f"Unit {self.d(1)}, "))
+            tail = self.of(("", "", f" apt {self.d(1)}", f", Apt. {self.d(2)}", f" flat {self.d(1)}")) if not flat else ""
+            code = self.of(("", "", " " + self.d(5), f" {self.letters(2)}{self.d(1)} {self.d(1)}{self.letters(2)}", f" {self.letters(1)}{self.d(2)} {self.d(1)}{self.letters(2)}"))
+            town = self.of(("", f", {t}{code}", f", {t}{code}", f", {t}{code}", f" in {t}", f" {t}", f", {t}, {self.letters(2)}{code}"))
+            return f"{flat}{n} {s} {kind}{tail}{town}"
+        code = self.d(5) if lang != "nl" else self.d(4) + self.of(("", " ")) + self.letters(2)
+        code = self.d(4) + "-" + self.d(3) if lang == "pt" else code
+        place = self.of(("", f", {code} {t}", f", {code} {t}", f", {t}", f" {code} {t}", f" in {t}" if lang in ("de", "nl", "it") else f" en {t}" if lang == "es" else f" à {t}" if lang == "fr" else f" em {t}"))
+        if lang == "de":
+            return f"{s}{self.of(('straße', 'strasse', 'str.', 'weg', 'allee', 'platz', 'gasse', ' Straße', '-Straße', 'ring', 'ufer'))} {n}{place}"
+        if lang == "nl":
+            return f"{s}{self.of(('straat', 'laan', 'weg', 'plein', 'gracht', 'kade', 'dijk', 'singel'))} {n}{place}"
+        if lang == "fr":
+            return f"{n}{self.of(('', ',', ' bis'))} {self.of(('rue', 'avenue', 'boulevard', 'place', 'allée', 'chemin', 'impasse', 'quai'))} {self.of(('', 'de ', 'du ', 'des ', 'de la '))}{s}{place}"
+        kinds = {"es": ("Calle", "calle", "Avenida", "Plaza", "Paseo", "C/"), "it": ("Via", "via", "Piazza", "Viale", "Corso", "Vicolo"), "pt": ("Rua", "rua", "Avenida", "Travessa", "Praça", "Largo")}[lang]
+        return f"{self.of(kinds)} {self.of(('', '', 'de ', 'del ' if lang != 'pt' else 'do ', 'della ' if lang == 'it' else 'da '))}{s}{self.of((' ', ', '))}{n}{place}"
+
+    def thing(self, carriers: list[str]) -> str:
+        """Capitalised words that name no person; those of titles are words of the carriers."""
+        k, a, b = self.r.random(), self.place(), self.of(_AFTER)
+        word = lambda: self.of([w for w in self.of(carriers).split() if w.isalpha()] or ["Rain"]).capitalize()
+        if k < 0.2:
+            return f"{self.of(_THING)} {a}"
+        if k < 0.45:
+            return f"{a} {b}"
+        if k < 0.6:
+            return f"{a} {b} {self.d(self.r.integers(1, 5))}"
+        if k < 0.7:
+            return f"{self.of(_THING)} {a} {b}"
+        if k < 0.8:
+            return " ".join([word() for _ in range(self.r.integers(1, 3))] + [self.of(("over", "of", "under", "in", "without", "and", "from")).capitalize(), self.of((a, word()))])
+        if k < 0.9:
+            return self.of(_GIVEN) + self.of(("", " and " + self.of(_GIVEN), ",", "'s"))
+        return self.of(("u/", "@", "r/", "#")) + self.stem(1, 3)
 
 
 def made_up(count: int, carriers: list[str], seed: int = 9) -> tuple[list[str], list[list[tuple[int, int, str]]]]:
-    """Labelled texts: sentences with drawn items, or with what only looks like one, between sentences of carriers."""
+    """Labelled texts: items, or things that only look like one, with words that lead up to them, between and within carriers."""
     m = _Maker(seed)
     carriers = carriers or ["Some rain fell before lunch."]
+    langs = list(_LEAD)
     texts, spans = [], []
     for k in range(count):
         text, items = "", []
-        for part in ("c", "s", "c") if k % 3 else ("s", "s"):
-            if part == "c":
-                if m.r.random() < 0.7:
-                    text += m.of(carriers)[-60:] + " "
-                continue
-            line = _SAID[(k * 7 + len(text)) % len(_SAID)] if part == "s" else ""
-            if m.r.random() < 0.5:
-                line = line[0].upper() + line[1:]
-            for bit in re.split(r"(\{.\})", line):
-                if bit[:1] == "{" and bit[2:] == "}":
-                    kind = bit[1]
-                    word = m.d(1) if kind == "9" else getattr(m, kind)()
-                    if kind in _OF:
-                        items.append((len(text), len(text) + len(word), _OF[kind]))
-                    text += word
-                else:
-                    text += bit
-            text += m.of((" ", " ", ", ", "! ", ". "))
-        texts.append(text.strip() + " ")
+        for _ in range(m.r.integers(1, 3)):
+            c, where = m.of(carriers).split(" "), m.r.random()
+            at = 0 if where < 0.3 else len(c) if where < 0.65 else int(m.r.integers(0, len(c) + 1))
+            c = c[max(0, at - 8) : at + 8]
+            at = min(at, 8, len(c))
+            text += " ".join(c[:at]) + (" " if at else "")
+            lang = "en" if m.r.random() < 0.5 else m.of(langs)
+            kind = m.of(TYPES) if m.r.random() < 0.72 else m.of(("no", "no", "thing"))
+            often = {"no": 1.0, "phone": 0.9, "id_number": 0.9}.get(kind, 0.65)
+            lead = m.of(_LEAD[lang][kind].split("|")) if kind in _LEAD[lang] and m.r.random() < often else ""
+            if kind == "no" and lang == "en" and lead and m.r.random() < 0.4:
+                lead += m.of((" number", " no.", " code", " #", " id", " nr"))
+            if lead and (at == 0 or m.r.random() < 0.3):
+                lead = lead[0].upper() + lead[1:]
+            if lead:
+                text += lead + m.of((" ", " ", " ", ": ", " is ", " no. ", " (")) if lead[-1].isalnum() else lead + " "
+            item = m.address(lang) if kind == "address" else m.thing(carriers) if kind == "thing" else getattr(m, kind)()
+            if kind in TYPES:
+                items.append((len(text), len(text) + len(item), kind))
+            text += item + m.of((" ", " ", " ", ". ", ". ", "! ", ", ", " , ", ") ", "? ", " - ", "; "))
+            text += " ".join(c[at:]) + m.of((" ", " ", ". "))
+        if m.r.random() < 0.04 and len(text.upper()) == len(text):
+            text = text.upper()
+        texts.append(text)
         spans.append(items)
     return texts, spans
 
 
-def _doubtful(sentence: str) -> bool:
-    """True if the sentence may hold an item: it has the form of one, for a name with a known given name or a title."""
-    if "@" in sentence or _digits(sentence) > 4:
-        return True
-    return any(k != "person_name" or sentence[a:b].split()[0] in _GIVEN or re.match(_TITLE, sentence[a:b]) for a, b, k in candidates(sentence))
+def _plain(sentence: str, starts: frozenset[str] = frozenset()) -> bool:
+    """True if a sentence of the corpus surely holds no item: no mail sign, few digits and none beside a capital, no two capitals in a row,
+    but for a first word that many sentences begin with."""
+    if "@" in sentence or _digits(sentence) > 4 or re.search(r"[\[({<]\s?(?:at|dot)\s?[\])}>]| dot ", sentence, re.I):
+        return False
+    capitals = [w[:1].isupper() for w in sentence.split()]
+    if any(a and b for a, b in zip(capitals[1:], capitals[2:])) or (sum(capitals) > 1 and _digits(sentence)):
+        return False
+    return not (len(capitals) > 1 and capitals[0] and capitals[1] and sentence.split()[0] not in starts)
 
 
 def fit(comments: DataFrame, *, sample: int = FIT_COMMENTS, windows: int = FIT_WINDOWS) -> Tagger:
-    """Trains on drawn items between sentences of a bounded sample of comments, chosen by hash, and on sentences without any."""
+    """Trains on drawn items in sentences of a bounded sample of comments, chosen by hash, and on sentences without any."""
     usable = comments.where(has_text("body_clean"))
     n = max(1, usable.count())
     rows = usable.where(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / n)).select("body_clean").collect()
-    texts = [r.body_clean for r in rows]
-    plain = [s for t in texts for s in re.split(r"(?<=[.!?])\s+", t) if s and not _doubtful(s)]
-    made, spans = made_up(windows * 2 // 3, plain)
-    free = [" ".join(plain[k : k + 3]) for k in range(0, min(len(plain), windows) - 2, 3)]
-    model = train(made + free, spans + [[] for _ in free])
-    often = Counter(w for t in texts for w in set(re.findall(r"[^\W\d_]+", t.lower())))
-    model.common = frozenset(w for w, n in often.items() if n > 2)
-    return model
+    return learn(sorted(r.body_clean for r in rows), windows)
+
+
+def learn(texts: list[str], windows: int = FIT_WINDOWS) -> Tagger:
+    said = [s for t in texts for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]
+    first = Counter(s.split()[0] for s in said)
+    starts = frozenset(w for w, n in first.items() if n * 500 >= len(said))
+    plain = [s for s in said if _plain(s, starts)]
+    made, spans = made_up(windows * 4 // 5, plain)
+    free = [" ".join(plain[k : k + 2]) for k in range(0, min(len(plain), windows * 2 // 5) - 1, 2)]
+    return train(made + free, spans + [[] for _ in free])
 
 
 def labels(model: Tagger, texts: list[str]) -> list[np.ndarray]:
@@ -482,8 +634,8 @@ def find(df: DataFrame, key: list[str], text: str, model: Tagger) -> DataFrame:
     def run(batches):
         m = shared.value
         for pdf in batches:
-            for k in range(0, len(pdf), 5_000):
-                part = pdf.iloc[k : k + 5_000]
+            for k in range(0, len(pdf), 10_000):
+                part = pdf.iloc[k : k + 10_000]
                 texts = list(part["__t"])
                 real = [i for i, t in enumerate(texts) if isinstance(t, str) and t.strip() and t.strip() not in ("[removed]", "[deleted]")]
                 masked, items = list(texts), [[] for _ in texts]
@@ -491,7 +643,7 @@ def find(df: DataFrame, key: list[str], text: str, model: Tagger) -> DataFrame:
                     if not tags.any():
                         continue
                     t, seen, new, at = texts[i], dict.fromkeys(TYPES, 0), [], 0
-                    for a, b, kind in confirmed(t, tags, m.common):
+                    for a, b, kind in items_of(t, tags):
                         seen[kind] += 1
                         items[i].append({"pii_type": kind, "occurrence": seen[kind], "start": a, "end": b})
                         new += [t[at:a], f"[{kind.upper()}]"]
@@ -506,8 +658,8 @@ def find(df: DataFrame, key: list[str], text: str, model: Tagger) -> DataFrame:
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
     comments = table(spark, folder, "comments")
-    model = fit(comments)
-    return find(comments.where(has_text("body_clean")).select(bare_id("id").alias("comment_id"), "body_clean").where("comment_id is not null"), ["comment_id"], "body_clean", model)
+    model = fitted(spark, "pii", [comments], lambda: fit(comments))
+    return find(comments.select(bare_id("id").alias("comment_id"), "body_clean").where("comment_id is not null"), ["comment_id"], "body_clean", model)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -516,8 +668,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
-    """Each comment with its items replaced; comments without any are left as they are."""
-    return _rows(spark, folder).groupBy("comment_id").agg(F.min("masked").alias("body_masked"), F.max(F.size("items")).alias("items"))
+    """Each comment with its items replaced; comments without any are left as they are, and so are removed and null texts.
+
+    Of the rows of one comment one with a text stands for it, where there is one.
+    """
+    best = F.max(F.struct(has_text("masked").alias("real"), "masked", F.size("items").alias("items")))
+    return _rows(spark, folder).groupBy("comment_id").agg(best.alias("b")).select("comment_id", F.col("b.masked").alias("body_masked"), "b.items")
 
 
 QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked}
