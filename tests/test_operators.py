@@ -82,16 +82,31 @@ def test_bootstrap_is_stable(spark):
 
 
 def test_first_issue(spark):
-    paths = spark.createDataFrame([("a", ["r", "a"]), ("b", ["r", "b"]), ("c", ["c"])], "id string, path array<string>")
-    facts = spark.createDataFrame([("r", True, False, False, True, True), ("a", False, False, False, True, False), ("b", False, False, False, False, False), ("c", False, False, False, False, False)], "id string, removed boolean, media boolean, moderator boolean, edited boolean, mod_reply boolean")
-    assert {r.id: r.issue for r in threads.first_issue(paths, facts).collect()} == {"a": "edited", "b": "removed", "c": None}
+    paths = spark.createDataFrame([("a", ["r", "a"]), ("b", ["r", "b"]), ("c", ["c"]), ("d", ["m", "d"]), ("e", ["c", "e"]), ("x", ["c", "x"])], "id string, path array<string>")
+    cols = "id string, removed boolean, media boolean, moderator boolean, edited boolean, mod_reply boolean"
+    rows = [("r", True, False, False, True, True), ("a", False, False, False, True, True), ("b", False, False, False, False, False), ("c", False, False, False, False, True), ("m", False, True, True, False, False), ("d", None, None, None, None, None), ("e", False, False, False, True, False)]
+    got = {r.id: (r.violating, r.compliant) for r in threads.first_issue(paths, spark.createDataFrame(rows, cols)).collect()}
+    # an edit is a fault of a violating end only, a moderator's answer of a compliant end only; above the end neither counts
+    assert got == {"a": ("edited_comment", "mod_response"), "b": ("removed_or_deleted",) * 2, "c": (None, "mod_response"), "d": ("has_media",) * 2, "e": ("edited_comment", None), "x": (None, None)}
+    assert threads.first_issue(paths.limit(0), spark.createDataFrame([], cols)).count() == 0
+
+
+def test_siblings_by_hand(spark):
+    """r has children v (violating), s, m (under a removed comment) and u; v and s have children of their own."""
+    nodes = [("t", "r", None, 0, ["r"], 1), ("t", "v", "r", 1, ["r", "v"], 5), ("t", "s", "r", 1, ["r", "s"], 3), ("t", "u", "r", 1, ["r", "u"], None), ("t", "v2", "v", 2, ["r", "v", "v2"], 0), ("t", "s2", "s", 2, ["r", "s", "s2"], 9), ("t", "o", None, 0, ["o"], 1)]
+    df = spark.createDataFrame(nodes, "tree string, id string, parent string, depth int, path array<string>, score long")
+    pairs = spark.createDataFrame([("p1", "v", 2), ("p2", "v2", 1)], "pair string, id string, ord int").join(df.select("tree", "id", "parent", "depth", "path"), "id")
+    c = threads.candidates(pairs, df)
+    # depth 1: the same depth only; depth 2: also depth 1, but not the parent v
+    assert {(r.pair, r.cand, r.common, r.length) for r in c.collect()} == {("p1", "s", 1, 2), ("p1", "u", 1, 2), ("p2", "s2", 1, 3), ("p2", "s", 1, 2), ("p2", "u", 1, 2)}
+    assert {r.pair: r.cand for r in threads.best(c).collect()} == {"p1": "u", "p2": "s2"}  # a missing score is 0, lower than 3
 
 
 def test_greedy_gives_each_once(spark):
-    rows = [("p1", "t", "1", "v1", "x", 0, 1, 2, 2), ("p1", "t", "1", "v1", "y", 0, 1, 1, 2), ("p2", "t", "2", "v2", "x", 0, 1, 2, 2), ("p3", "t", "3", "v3", "x", 0, 1, 2, 2)]
+    rows = [("p1", "t", "1", "v1", "x", 0, 1, 2, 2), ("p1", "t", "1", "v1", "y", 0, 1, 1, 2), ("p2", "t", "2", "v2", "x", 0, 1, 2, 2), ("p2", "t", "2", "v2", "v1", 0, 1, 1, 1), ("p3", "t", "3", "v3", "x", 0, None, 2, 2)]
     df = spark.createDataFrame([(p, t, o, i, c, d, s, k, n) for p, t, o, i, c, d, s, k, n in rows], "pair string, tree string, ord string, id string, cand string, cdepth long, score long, common long, length long")
     got = {r.pair: r.cand for r in threads.greedy(df).collect()}
-    assert got == {"p1": "x"}
+    assert got == {"p1": "x", "p2": "v1"}
 
 
 def test_hydrate(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.keys import bare_id, community_key
 from ..operators import clustering, documents, geometry, matching, splitting, statistics, threads
+from ..session import cut
 from ..sources.tables import table
 from .relational import _full
 from .reply_trees import _LINKS, reply_trees
@@ -103,11 +104,37 @@ def _paths(spark, folder):
     return reply_trees(table(spark, folder, "comments"), paths=True).where("state = 'tree'")
 
 
+def _facts(spark, folder):
+    """What a comment can disqualify its thread by; of several rows of an id the one of _comments stands."""
+    c = _comments(spark, folder)
+    some = lambda key: ~F.coalesce(F.get_json_object("raw", f"$.{key}"), F.lit("")).isin("", "{}", "[]", "false", "0")
+    removed = F.coalesce(F.trim("body_clean").isin("[removed]", "[deleted]"), F.lit(False)) | F.coalesce(F.trim("author").isin("[removed]", "[deleted]"), F.lit(False))
+    edited = F.coalesce(F.array_contains(F.json_object_keys("raw"), "edited") & ~F.coalesce(F.get_json_object("raw", "$.edited") == "false", F.lit(False)), F.lit(False))
+    rows = c.select("id", "parent", "score", "created_utc", removed.alias("removed"), (some("media") | some("media_metadata")).alias("media"), F.col("distinguished").eqNullSafe("moderator").alias("moderator"), edited.alias("edited"))
+    answered = rows.where("moderator and parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("mod_reply", F.lit(True))
+    return rows.join(answered, "id", "left").withColumn("mod_reply", F.coalesce("mod_reply", F.lit(False)))
+
+
+def _judged(spark, folder):
+    """(pairs, nodes): pairs in the order in which their moderators wrote, and all comments of the trees that hold one, judged.
+
+    Paths are judged in these trees only, and the result is written once, as both sides of the candidate join read it.
+    """
+    facts = _facts(spark, folder)
+    all_nodes = cut(_paths(spark, folder).select(F.col("link").alias("tree"), "id", "parent", "depth", "path").where("tree is not null"))
+    pairs = _pairs(spark, folder).where("violating is not null").select("pair", F.col("violating").alias("id"))
+    wrote = facts.select(F.col("id").alias("pair"), F.col("created_utc").cast("double").alias("wrote"))
+    turn = F.coalesce("wrote", F.lit(float("inf"))).alias("ord")
+    pairs = pairs.join(wrote, "pair", "left").select("pair", "id", turn)
+    held = all_nodes.join(pairs.select("id").distinct(), "id", "left_semi").select("tree").distinct()
+    nodes = all_nodes.join(held, "tree", "left_semi")
+    return pairs, cut(nodes.join(threads.first_issue(nodes.select("id", "path"), facts), "id").join(facts.select("id", "score"), "id"))
+
+
 def _candidates(spark, folder):
-    nodes = _paths(spark, folder).select(F.col("link").alias("tree"), "id", "parent", "depth", "path").join(_comments(spark, folder).select("id", "gone", "distinguished", F.col("score")), "id")
-    fit = nodes.where("not gone and coalesce(distinguished, '') <> 'moderator'")
-    violating = _pairs(spark, folder).select("pair", F.col("violating").alias("id"), F.col("pair").alias("ord")).join(fit.select("tree", "id", "parent", "depth", "path"), "id")
-    return threads.candidates(violating, fit)
+    pairs, nodes = _judged(spark, folder)
+    violating = pairs.join(nodes.where("violating is null").select("tree", "id", "parent", "depth", "path"), "id")
+    return threads.candidates(violating, nodes.where("compliant is null").select("tree", "id", "depth", "path", "score"))
 
 
 def tre06_best_sibling(spark, folder):
@@ -124,12 +151,11 @@ def tre07_greedy(spark, folder):
 
 
 def tre04_first_issue(spark, folder):
-    c = _comments(spark, folder)
-    mods = c.where("distinguished = 'moderator'").select(F.col("parent").alias("id")).distinct().withColumn("mod_reply", F.lit(True))
-    edited = flt11_edited(spark, folder)
-    facts = c.join(mods, "id", "left").join(edited, "id", "left").select("id", F.col("gone").alias("removed"), F.get_json_object("raw", "$.media").isNotNull().alias("media"), F.col("distinguished").eqNullSafe("moderator").alias("moderator"), F.coalesce("edited", F.lit(False)).alias("edited"), F.coalesce("mod_reply", F.lit(False)).alias("mod_reply"))
-    found = threads.first_issue(_paths(spark, folder).select("id", "path"), facts)
-    return found.groupBy(F.coalesce("issue", F.lit("none")).alias("issue")).agg(F.count("*").alias("n"))
+    """Faults of the violating threads of pairs, and of all threads of their trees as compliant ones."""
+    pairs, nodes = _judged(spark, folder)
+    v = nodes.join(pairs, "id").select(F.lit("violating").alias("mode"), F.coalesce("violating", F.lit("none")).alias("issue"))
+    c = nodes.select(F.lit("compliant").alias("mode"), F.coalesce("compliant", F.lit("none")).alias("issue"))
+    return v.unionByName(c).groupBy("mode", "issue").agg(F.count("*").alias("n"))
 
 
 def tre10_forest(spark, folder):
@@ -268,9 +294,17 @@ def _clean_sql(c: str) -> str:
 
 
 _NODES = f"""WITH RECURSIVE {_full('SELECT * FROM c', 1).partition('WITH ')[2].rpartition('SELECT * FROM c')[0].strip()}, {_LINKS.strip()},
-fit AS (SELECT w.id, n.parent, n.link AS tree, w.depth, w.path, c.score FROM walk w JOIN node n ON n.id = w.id JOIN c ON c.id = w.id WHERE NOT w.lost AND NOT c.gone AND coalesce(c.distinguished, '') <> 'moderator'),
-p AS (SELECT nullif(regexp_replace(trim(mod_comment_id), '^t[0-9]_', ''), '') AS pair, max(nullif(regexp_replace(trim(violating_comment_id), '^t[0-9]_', ''), '')) AS violating FROM thread_pairs GROUP BY 1),
-cand AS (SELECT p.pair, v.tree, v.id, x.id AS cand, x.score, x.depth + 1 AS length, len(list_intersect(string_split(v.path, '/'), string_split(x.path, '/'))) AS common FROM p JOIN fit v ON v.id = p.violating JOIN fit x ON x.tree = v.tree AND (x.depth = v.depth OR (v.depth >= 2 AND x.depth = v.depth - 1)) AND x.id <> v.id AND x.id IS DISTINCT FROM v.parent)"""
+f AS (SELECT id, parent, score, coalesce(trim(body_clean) IN ('[removed]', '[deleted]'), false) OR coalesce(trim(author) IN ('[removed]', '[deleted]'), false) AS removed,
+  coalesce(raw ->> '$.media', '') NOT IN ('', '{{}}', '[]', 'false', '0') OR coalesce(raw ->> '$.media_metadata', '') NOT IN ('', '{{}}', '[]', 'false', '0') AS media, coalesce(distinguished = 'moderator', false) AS moderator,
+  coalesce(list_contains(json_keys(raw), 'edited') AND coalesce(json_extract(raw, '$.edited')::VARCHAR <> 'false', true), false) AS edited, coalesce(id IN (SELECT parent FROM c WHERE distinguished = 'moderator' AND parent IS NOT NULL), false) AS answered FROM c),
+p AS (SELECT nullif(regexp_replace(trim(mod_comment_id), '^t[0-9]_', ''), '') AS pair, max(nullif(regexp_replace(trim(violating_comment_id), '^t[0-9]_', ''), '')) AS violating FROM thread_pairs GROUP BY 1 HAVING pair IS NOT NULL AND violating IS NOT NULL),
+held AS (SELECT DISTINCT n.link FROM p JOIN node n ON n.id = p.violating JOIN walk w ON w.id = n.id WHERE NOT w.lost AND n.link IS NOT NULL),
+th AS (SELECT w.id, n.parent, n.link AS tree, w.depth, w.path FROM walk w JOIN node n ON n.id = w.id WHERE NOT w.lost AND n.link IN (SELECT link FROM held)),
+hop AS (SELECT th.id, th.depth - s.lvl AS up, s.at FROM th, LATERAL (SELECT unnest(string_split(th.path, '/')) AS at, generate_subscripts(string_split(th.path, '/'), 1) - 1 AS lvl) s),
+up AS (SELECT h.id, min(CASE WHEN f.removed THEN up * 10 WHEN f.media THEN up * 10 + 1 WHEN f.moderator THEN up * 10 + 2 END) AS fault FROM hop h JOIN f ON f.id = h.at GROUP BY h.id),
+j AS (SELECT th.*, f.score, least(u.fault, CASE WHEN f.edited THEN 3 END) AS v, least(u.fault, CASE WHEN f.answered THEN 4 END) AS k FROM th JOIN up u ON u.id = th.id JOIN f ON f.id = th.id),
+cand AS (SELECT p.pair, v.tree, v.id, x.id AS cand, x.score, x.depth + 1 AS length, len(list_intersect(string_split(v.path, '/'), string_split(x.path, '/'))) AS common FROM p JOIN j v ON v.id = p.violating AND v.v IS NULL JOIN j x ON x.k IS NULL AND x.tree = v.tree AND (x.depth = v.depth OR (v.depth >= 2 AND x.depth = v.depth - 1)) AND x.id <> v.id AND x.id IS DISTINCT FROM v.parent)"""
+_WORD = "CASE WHEN {0} IS NULL THEN 'none' ELSE ['removed_or_deleted', 'has_media', 'moderator_in_thread', 'edited_comment', 'mod_response'][{0} % 10 + 1] END"
 _URLHOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _URLEXT = "CASE WHEN regexp_extract(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '\\.([^.]*)$', 1) IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'bmp') THEN regexp_extract(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '\\.([^.]*)$', 1) END"
 _RES = """res AS (SELECT pair, coalesce(label, 'none') AS label, coalesce(split, 'none') AS split, CASE WHEN vscore IS NOT NULL AND cscore IS NOT NULL THEN CAST(vscore <= cscore AS INT) END AS violating, CASE WHEN cscore IS NOT NULL THEN CAST(cscore > 0 AS INT) END AS compliant FROM p)"""
@@ -294,6 +328,7 @@ SELECT CASE WHEN contains(t, '404') OR contains(t, 'not found') THEN '404_not_fo
     "tre01_edges": f"WITH RECURSIVE {_LINKS} SELECT id, root, depth::BIGINT AS depth FROM walk WHERE NOT lost",
     "tre06_best_sibling": f"{_NODES} SELECT pair, id AS violating, cand AS compliant, common::BIGINT AS common, length::BIGINT AS length FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY common DESC, length DESC, coalesce(score, 0), cand) AS nth FROM cand) WHERE nth = 1",
     "tre06_candidates": f"{_NODES} SELECT pair, count(*) AS candidates, max(common)::BIGINT AS most_common FROM cand GROUP BY pair",
+    "tre04_first_issue": f"{_NODES} SELECT mode, issue, count(*) AS n FROM (SELECT 'violating' AS mode, {_WORD.format('j.v')} AS issue FROM p JOIN j ON j.id = p.violating UNION ALL SELECT 'compliant', {_WORD.format('j.k')} FROM j) GROUP BY 1, 2",
     "tre10_forest": f"WITH RECURSIVE {_LINKS} SELECT n.link, count(*) AS comments, max(w.depth)::BIGINT AS deepest, count(*) FILTER (w.depth = 0) AS roots FROM walk w JOIN node n ON n.id = w.id WHERE NOT w.lost AND n.link IS NOT NULL GROUP BY n.link",
     "mth01_divergence": f"""{_P}, n AS (SELECT sub, rule, count(*) AS n FROM p WHERE rule IS NOT NULL AND sub IS NOT NULL GROUP BY sub, rule), q AS (SELECT sub, n / sum(n) OVER (PARTITION BY sub) AS p, 1.0::DOUBLE / count(*) OVER (PARTITION BY sub) AS u FROM n)
 SELECT sub, round(sum(0.5 * p * ln(p / ((p + u) / 2)) + 0.5 * u * ln(u / ((p + u) / 2))), 6) AS divergence FROM q GROUP BY sub""",
