@@ -12,7 +12,7 @@ from ..sources.tables import table
 from .tokens import FOLDER, VOCABULARY, with_tokens
 
 #: Tokens of a block; a slot of the schedule holds one block.
-BLOCK_TOKENS = 256
+BLOCK_TOKENS = 1024
 #: Rows numbered by one window partition.
 RUN = 50_000
 GOLDEN = 0.6180339887498949
@@ -42,7 +42,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_T
 
     documents: doc_id, source (normalised), n_tokens; targets: source, target_share, max_repeats. The total is the most at
     which no source needs more than max_repeats times its tokens. Each source's documents are shuffled anew for each pass by
-    a hash, and laid end to end; block k holds those that begin in its block_tokens tokens. Slot i goes to the source in
+    a hash, and laid end to end; block k holds those that begin in its block_tokens tokens,
+    whole; one that reaches into later blocks keeps their slots too, in which then nothing, or little, begins. Slot i goes to the source in
     whose part of the cumulative weights the i-th golden-ratio point falls, and takes that source's next block. Documents
     without source, target or tokens are left out; shares are taken relative to their sum; rows of targets with a null or
     no positive share or repeats are ignored, and a source without documents has its share left to the others. Equal hashes
@@ -72,29 +73,32 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_T
     parts = F.coalesce(*[F.when(F.col("source") == r.source, F.lit(max(1, math.ceil(r.docs / RUN)))) for r in have])
     laid = docs.join(F.broadcast(spark.createDataFrame([(r.source,) for r in have], "source string")), "source", "left_semi")
     laid = laid.withColumn("pass_no", F.explode(F.sequence(F.lit(1), passes))).withColumn("h", F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "pass_no", "doc_id"), 256), 1, 8), 16, 10).cast("bigint"))
-    laid = running_total(laid, "source", ["h", "doc_id"], "n_tokens", F.col("pass_no") * F.lit(2**20) + F.floor(F.col("h") * parts / F.lit(2**32)), "start")
+    laid = running_total(laid, "source", ["h", "doc_id"], "n_tokens", F.col("pass_no") * F.lit(2**32) + F.floor(F.col("h") * parts / F.lit(2**32)), "start")
     laid = laid.withColumn("block", F.floor(F.col("start") / block_tokens))
     return laid.join(plan, ["source", "block"]).select("slot", "source", "doc_id", F.col("pass_no").cast("int").alias("pass_no"), "n_tokens")
 
 
-def mixed_documents(spark: SparkSession, folder: str, *, tokenizers: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+def _documents_and_mix(spark: SparkSession, folder: str, *, tokenizers: str = FOLDER, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     docs = with_tokens(table(spark, folder, "documents").withColumn("source", source_key("source")), ["doc_id", "source"], folder=tokenizers, vocabulary=vocabulary)
     targets = table(spark, folder, "mix_targets").withColumn("source", source_key("source"))
-    return mix(cut(docs), targets)
+    docs = cut(docs)
+    return docs, mix(docs, targets)
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed_documents(spark, folder)
+    return _documents_and_mix(spark, folder)[1]
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Per source: target and actual share of all tokens, tokens, distinct documents and the most often one was used."""
-    mixed = mixed_documents(spark, folder)
+    """Per source: target and actual share of all tokens, tokens, distinct documents, the most often one was used, and how many
+    documents and tokens the source has that no pass reached."""
+    docs, mixed = _documents_and_mix(spark, folder)
+    have = docs.where("n_tokens > 0").groupBy("source").agg(F.count("*").alias("all_docs"), F.sum("n_tokens").alias("all_tokens"))
     uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("n"))
-    per = uses.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
+    per = uses.groupBy("source").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") / F.col("uses")).cast("bigint").alias("once"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
     whole = per.agg(F.sum("tokens").alias("all"))
     targets = table(spark, folder, "mix_targets").withColumn("source", source_key("source"))
-    return per.crossJoin(F.broadcast(whole)).join(F.broadcast(targets), "source").select("source", F.round("target_share", 4).alias("target_share"), F.round(F.col("tokens") / F.col("all"), 4).alias("actual_share"), "tokens", "documents", "most_uses")
+    return per.crossJoin(F.broadcast(whole)).join(F.broadcast(targets), "source").join(F.broadcast(have), "source").select("source", F.round("target_share", 4).alias("target_share"), F.round(F.col("tokens") / F.col("all"), 4).alias("actual_share"), "tokens", "documents", "most_uses", (F.col("all_docs") - F.col("documents")).alias("documents_left"), (F.col("all_tokens") - F.col("once")).alias("tokens_left"))
 
 
 QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}

@@ -12,8 +12,10 @@ from ..session import cut
 from ..sources.tables import table
 from .tokens import FOLDER, VOCABULARY, with_tokens
 
-#: Documents packed together; each such block leaves at most a few unfilled packs.
+#: Documents packed together.
 BLOCK = 50_000
+#: Share of a pack that may stay empty before its items are packed again with those of other blocks.
+SLACK = 0.02
 
 
 class OpenBins:
@@ -83,26 +85,39 @@ def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, *, name:
     """(name, pack_id, key, piece, n_tokens): which pack each item, or each piece of an item longer than a pack, lies in.
 
     Items are packed in blocks of about `block` items chosen by a hash of their key, each by best-fit decreasing, so no task
-    grows with the table. Only items above capacity are cut: into full packs and a rest. Items of size 0 or null need no
-    room and come back with pack_id null. Capacities that are null or below 1 and items with a null key are left out; keys
-    are taken as unique.
+    grows with the table. Of each block only packs filled up to SLACK stay; the items of the others, few in a block, are packed
+    again together, in fewer blocks, until one block holds them all. Only items above capacity are cut: into full packs and a
+    rest. Items of size 0 or null need no room and come back with pack_id null. Capacities that are null or below 1 and items
+    with a null key are left out; keys are taken as unique.
     """
     items = items.select(F.col(key).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("n")).where("item is not null")
     caps = capacities.select(F.col(name).alias("pack"), F.col(capacity).cast("int").alias("cap")).where("cap >= 1").distinct()
-    blocks = max(1, math.ceil(items.count() / block))
-    each = items.where("n > 0").withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")).crossJoin(F.broadcast(caps))
+    each = items.where("n > 0").crossJoin(F.broadcast(caps)).withColumn("pieces", F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("cap")).cast("int") - 1))
+    each = each.select("pack", "cap", "item", F.explode("pieces").alias("piece"), "n").withColumn("n_tokens", F.least("cap", F.col("n") - F.col("piece") * F.col("cap"))).drop("n")
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        cap, number = int(pdf["cap"].iloc[0]), int(key[1])
-        rows = [(i, piece, min(cap, n - piece * cap)) for i, n in zip(pdf["item"].tolist(), pdf["n"].tolist()) for piece in range(-(-n // cap))]
-        rows.sort(key=lambda r: (-r[2], r[0], r[1]))
-        bins = best_fit_decreasing([r[2] for r in rows], cap)
-        out = pd.DataFrame(rows, columns=["item", "piece", "n_tokens"])
-        return pd.DataFrame({"pack": key[0], "pack_id": [f"{number}-{b}" for b in bins], "item": out["item"], "piece": out["piece"], "n_tokens": out["n_tokens"]})
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cap = int(pdf["cap"].iloc[0])
+        pdf = pdf.sort_values(["n_tokens", "item", "piece"], ascending=[False, True, True])
+        bins = pd.Series(best_fit_decreasing(pdf["n_tokens"].tolist(), cap), index=pdf.index)
+        load = pdf["n_tokens"].groupby(bins).transform("sum")
+        return pd.DataFrame({"pack": key[0], "cap": cap, "item": pdf["item"], "piece": pdf["piece"], "n_tokens": pdf["n_tokens"], "pack_id": [f"{key[2]}-{key[1]}-{b}" for b in bins], "full": load >= (1 - SLACK) * cap})
 
     kind = dict(items.dtypes)["item"]
-    schema = f"pack string, pack_id string, item {kind}, piece int, n_tokens int"
-    packed = each.groupBy("pack", "block").applyInPandas(fill, schema)
+    schema = f"pack string, cap int, item {kind}, piece int, n_tokens int, pack_id string, full boolean"
+    packed, rest, level, before = None, each, 0, math.inf
+    while True:
+        rows = rest.groupBy("pack").count().agg(F.max("count")).first()[0] or 0
+        blocks = max(1, math.ceil(rows / block))
+        last = blocks == 1 or blocks >= before  # the second: packs that don't fill, such as items of more than half a pack
+        cells = rest.withColumn("block", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)).cast("int")).withColumn("level", F.lit(level))
+        made = cells.groupBy("pack", "block", "level").applyInPandas(fill, schema)
+        made = made if last else cut(made)
+        done = made if last else made.where("full")
+        packed = done if packed is None else packed.unionByName(done)
+        if last:
+            break
+        rest, before, level = made.where("not full").select("pack", "cap", "item", "piece", "n_tokens"), blocks, level + 1
+    packed = packed.select("pack", "pack_id", "item", "piece", "n_tokens")
     none = items.where("n <= 0").crossJoin(F.broadcast(caps)).select("pack", F.lit(None).cast("string").alias("pack_id"), "item", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"))
     return packed.unionByName(none).select(F.col("pack").alias(name), "pack_id", F.col("item").alias(key), "piece", "n_tokens")
 

@@ -94,7 +94,7 @@ def items_of(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
     """
     change = np.flatnonzero(np.diff(tags)) + 1
     edges = [0, *change.tolist(), len(tags)]
-    runs = [[a, b, int(tags[a]), b - a] for a, b in zip(edges, edges[1:]) if tags[a]]
+    runs = [[a, b, int(tags[a]), b - a] for a, b in zip(edges, edges[1:]) if b > a and tags[a]]
     whole = []
     for run in runs:
         a, b = run[0], run[1]
@@ -587,6 +587,8 @@ def fit(comments: DataFrame, *, sample: int = FIT_COMMENTS, windows: int = FIT_W
 
 
 def learn(texts: list[str], windows: int = FIT_WINDOWS) -> Tagger:
+    if not texts:
+        return Tagger()  # nothing to read
     said = [s for t in texts for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]
     first = Counter(s.split()[0] for s in said)
     starts = frozenset(w for w, n in first.items() if n * 500 >= len(said))

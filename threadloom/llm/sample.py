@@ -7,13 +7,16 @@ deliveries nor later rates change a draw or a rate once written.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import bare_id
+from ..session import cut, shared_dir
 from ..sources.tables import table
+from .models import fingerprint
 
 SEED = "threadloom-1"
 #: The rate frozen for each delivery; later epochs take the last one.
@@ -52,8 +55,45 @@ def selected(book: DataFrame, seed: str = SEED) -> DataFrame:
     return book.where(draw(F.col("record"), seed) < F.col("rate"))
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at path; null where none was begun."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema("record string, rate double, epoch bigint").parquet(path) if there else None
+
+
+def append(records: DataFrame, key: Column, epoch: Column, rates: dict[int, float], path: str) -> DataFrame:
+    """The ledger at path after the records that aren't in it have been added, each with its first epoch and that epoch's rate.
+
+    Rows that are there are neither changed nor written again: new ones are appended by one committed write, so a run that dies
+    before it adds nothing and is repeated. Later rates and late deliveries of early epochs therefore
+    leave every earlier record as it is.
+    """
+    spark = records.sparkSession
+    before = stored(spark, path)
+    now = ledger(records, key, epoch, rates, before)
+    new = now if before is None else now.join(before.select("record"), "record", "left_anti")
+    new = cut(new)
+    if new.head() is not None:
+        new.select("record", "rate", "epoch").write.mode("append").partitionBy("epoch").parquet(path)
+    book = stored(spark, path)
+    return new.limit(0) if book is None else book.select("record", "epoch", "rate")
+
+
 def _book(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger(table(spark, folder, "thread_pairs"), bare_id("mod_comment_id"), F.col("batch_no"), RATES)
+    """The ledger of the table's files, written when it is first asked for.
+
+    It lies in the shared folder under a key of these files, so a run over the same files finds it and adds nothing; a table that
+    grows is given a path of its own (append).
+    """
+    pairs = table(spark, folder, "thread_pairs")
+    key = hashlib.sha256("\n".join([SEED, repr(RATES), *fingerprint(spark, [pairs])]).encode()).hexdigest()[:24]
+    path = f"{shared_dir(spark)}/ledgers/{key}"
+    if stored(spark, path + "/done") is None:
+        append(pairs, bare_id("mod_comment_id"), F.col("batch_no"), RATES, path + "/book")
+        spark.createDataFrame([], "record string, rate double, epoch bigint").write.mode("overwrite").parquet(path + "/done")
+    book = stored(spark, path + "/book")
+    return ledger(pairs, bare_id("mod_comment_id"), F.col("batch_no"), RATES) if book is None else book.select("record", "epoch", "rate")
 
 
 def p2_sample(spark: SparkSession, folder: str) -> DataFrame:

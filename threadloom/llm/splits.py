@@ -38,16 +38,47 @@ def stratify(labels: DataFrame, shares: dict[str, float] = SHARES, *, task_rows:
 
     Again and again the label with the fewest records still to place is taken; its components, largest first, each go to
     the split that lacks most of what the component holds: where it lowers most the squared gaps of all its labels, each
-    measured by the split's goal. Should the counts be more than
-    task_rows rows, hashed blocks of components are each placed against their own totals. A component larger than a
-    split's share can only overfill it. Nulls count as a label of their own; an empty table gives an empty one.
+    measured by the split's goal. One task holds at most about task_rows label counts: of more, the largest components are
+    placed first against the goals of all data, and what each split then lacks of each label is the goal of the rest, which
+    is placed in hashed blocks, each against its part of it. A component larger than a split's share can only overfill it.
+    Nulls count as a label of their own; an empty table gives an empty one.
     """
-    rows = labels.count()
-    blocks = max(1, math.ceil(rows / task_rows))
     whole = sum(shares.values())
     names = list(shares)
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+    keyed = labels.select("component", F.coalesce("label", F.lit("(none)")).alias("label"), "n")
+    if keyed.count() <= task_rows:
+        return keyed.withColumn("block", F.pmod(F.xxhash64("component"), F.lit(1))).groupBy("block").applyInPandas(_placer(names, None, shares), "component string, split string")
+    sizes = keyed.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("rows"))
+    # as many of the largest as fit one task: sizes are numbers of records, of which there are few different ones
+    by_size = sizes.groupBy("size").agg(F.sum("rows").alias("rows")).orderBy(F.desc("size")).limit(task_rows).collect()
+    held, least = 0, math.inf
+    for r in by_size:
+        if held + r.rows > task_rows:
+            break
+        held, least = held + r.rows, r["size"]
+    big = sizes.select("component", (F.col("size") >= F.lit(float(least))).alias("big"))
+    keyed = cut(keyed.join(big, "component"))
+    # goals: one row a label; labels are names of rule clusters, of which there are as many as moderators' kinds of rules
+    goal = {r.label: {s: r.n * shares[s] / whole for s in names} for r in keyed.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    schema = "component string, split string"
+    head = cut(keyed.where("big").withColumn("block", F.pmod(F.xxhash64("component"), F.lit(1))).groupBy("block").applyInPandas(_placer(names, {0: goal}, shares), schema))
+    for r in keyed.where("big").join(head, "component").groupBy("label", "split").agg(F.sum("n").alias("n")).collect():
+        goal[r.label][r.split] -= r.n
+    rest = keyed.where("not big")
+    blocks = max(1, math.ceil(rest.count() / task_rows))
+    cells = rest.withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks)).cast("int"))
+    left = {l: max(1, sum(v.values())) for l, v in goal.items()}
+    part: dict[int, dict] = {k: {} for k in range(blocks)}
+    for r in cells.groupBy("block", "label").agg(F.sum("n").alias("n")).collect():
+        part[r.block][r.label] = {s: goal[r.label][s] * r.n / left[r.label] for s in names}
+    tail = cells.groupBy("block").applyInPandas(_placer(names, part, shares), schema)
+    return head.unionByName(tail)
+
+
+def _placer(names: list[str], goals: dict[int, dict[str, dict[str, float]]] | None, shares: dict[str, float] = SHARES):
+    """The function that places the components of one group; goals by group and label, or none for the group's own totals."""
+
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         vectors: dict[str, dict[str, int]] = defaultdict(dict)
         for c, l, n in zip(pdf["component"], pdf["label"], pdf["n"]):
             vectors[c][l] = int(n)
@@ -57,7 +88,8 @@ def stratify(labels: DataFrame, shares: dict[str, float] = SHARES, *, task_rows:
             for l, n in v.items():
                 left[l] += n
                 holders[l].append(c)
-        lack = {s: {l: n * shares[s] / whole for l, n in left.items()} for s in names}
+        whole = sum(shares[s] for s in names)
+        lack = {s: {l: n * shares[s] / whole if goals is None else goals[int(key[0])][l][s] for l, n in left.items()} for s in names}
         goal = {s: {l: max(n, 1e-9) for l, n in lack[s].items()} for s in names}
         done: dict[str, str] = {}
         while left:
@@ -73,8 +105,7 @@ def stratify(labels: DataFrame, shares: dict[str, float] = SHARES, *, task_rows:
             del left[label]
         return pd.DataFrame({"component": list(done), "split": list(done.values())})
 
-    keyed = labels.select("component", F.coalesce("label", F.lit("(none)")).alias("label"), "n", F.pmod(F.xxhash64("component"), F.lit(blocks)).alias("block"))
-    return keyed.groupBy("block").applyInPandas(place, "component string, split string")
+    return place
 
 
 def _related(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
