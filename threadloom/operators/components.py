@@ -70,4 +70,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", *, task_rows: int =
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("components did not settle")
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
