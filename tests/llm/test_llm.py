@@ -410,7 +410,7 @@ def test_subjects(spark):
 
 def test_leaves_are_labelled_by_terms(spark):
     """A leaf without a labelled document has the subject of those that share its terms; one that nothing speaks for has none."""
-    rows = [("en", l, "doc", "", 10, 0.0) for l in (0, 1, 2)] + [("en", l, "sentence", "", 50, 0.0) for l in (0, 1, 2)]
+    rows = [("en", l, "doc", "", 10, 0.0) for l in (0, 1, 2)] + [("en", l, "sentence", "", n, 0.0) for l, n in ((0, 50), (1, 400), (2, 50))]
     rows += [("en", 0, "label", "food", 3, 0.0), ("en", 1, "label", "", 8, 0.0)]
     rows += [("en", l, "term", t, 20, w) for l, t, w in ((0, "soup", 5.0), (0, "bread", 4.0), (1, "lamp", 5.0), (2, "bread", 5.0), (2, "cheese", 3.0))]
     rows += [("en", None, "=food", "bread", 3, 0.0), ("en", None, "=food", "soup", 2, 0.0), ("en", None, "=", "lamp", 8, 0.0)]
