@@ -154,6 +154,35 @@ def test_items_come_from_labels():
     assert pii.items_of("", np.zeros(0, np.uint8)) == []
 
 
+def test_items_whose_labels_stop_early_are_completed():
+    for t, part, k, item in (("whatsapp me 617 555 01 12. Then", "617 555 01", 2, "617 555 01 12"), ("Contact: ann1 [at] x [dot] com, ok", "ann1 [at] x [dot", 1, "ann1 [at] x [dot] com")):
+        tags = np.zeros(len(t), np.uint8)
+        tags[t.index(part) : t.index(part) + len(part)] = k
+        assert [t[a:b] for a, b, _ in pii.items_of(t, tags)] == [item]
+
+
+def test_phrases_around_found_items_become_frames(monkeypatch):
+    """Items of any form are then drawn into phrases in which one form was found; phrases that mostly hold none are left out."""
+    texts = [f"We met. The seller gave 617-555-01{i:02} as a mobile. Part number 54-734-16{i:02} is the one." for i in range(20)]
+
+    def found(model, texts):
+        out = [np.zeros(len(t), np.uint8) for t in texts]
+        for n, (t, g) in enumerate(zip(texts, out)):
+            if n < 12:
+                g[t.index("617") : t.index(" as a")] = 2
+            if n < 2:
+                g[t.index("54-") : t.index(" is the")] = 3
+        return out
+
+    monkeypatch.setattr(pii, "labels", found)
+    known = pii.frames(None, texts)
+    assert known == [("phone", "The seller gave ", " as a mobile.", "en")]
+    made, spans = pii.framed(50, known, ["It rained again."], 3)
+    assert len({t[a:b] for t, s in zip(made, spans) for a, b, _ in s}) > 40
+    assert all("The seller gave " in t.replace("the seller", "The seller") and t[s[0][1] :].startswith(" as a mobile.") and s[0][2] == "phone" for t, s in zip(made, spans))
+    assert pii.framed(5, [], [], 3) == ([], [])
+
+
 def test_masking(spark, tagger):
     t = "You can reach me at olga.torvick@example.org! The lamp is new."
     rows = [("a", t), ("b", None), ("c", ""), ("d", "[removed]"), ("e", LONG), ("a", t)]
