@@ -260,6 +260,20 @@ def test_canonical_words():
     assert overlap.canonical_words("") == [] and overlap.common_subsequence(list("abcbdab"), list("bdcaba")) == 4
 
 
+def test_texts_that_read_the_same_are_one_class(spark):
+    """Accents written apart, look-alike capitals, unseen characters, marks and tags inside words; words between signs stay words."""
+    base = "Café owners didn't say why the new MUZHY menu was unhappy, yet they sold nine more cakes"
+    same = [
+        base.replace("é", "e\u0301"), base.replace("didn't", "didn’t"), base.replace("didn't", "didnt"), base.replace("MUZHY", "ΜUΖΗΥ"), base.replace("unhappy", "un\u3164happy"), base.replace("unhappy", "un\x07happy"),
+        base.replace("unhappy", "un**happy**"), base.replace("unhappy", "un<b>happy</b>"), base.replace("unhappy", "unh\u0335appy"), base.replace(" yet ", "<br>yet\r"), base.replace("new", '<a href="' + "x" * 300 + '">new</a>'), base.replace("é", "é\r\n"),
+    ]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate([base, *same])], "id string, text string")
+    got = {r.id: r.cls for r in overlap.classes(df, "id", "text").collect()}
+    assert len(got) == len(same) + 1 and not [same[int(k) - 1] for k, c in got.items() if c != got["0"]]
+    assert overlap.canonical_words(">!one!< two three >!four!< if a < b and c > d") == "one two three four if a b and c d".split()
+    assert overlap.canonical_words("ΗΜΕΡΑ") == overlap.canonical_words("ημερα") and overlap.canonical_words("(see https://x.y/z) then") == ["see", "then"]
+
+
 def test_classes_edges(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", "one two"), ("d", LONG)], "id string, text string").withColumn("cls", F.lit(0))
     assert [r.id for r in overlap.classes(df, "id", "text").collect()] == ["d"]

@@ -32,21 +32,42 @@ GROUP = 100_000
 #: Counters of the hashed table of word frequencies, which orders words by rarity; its size bounds what is broadcast.
 COUNTERS = 1 << 17
 
-#: Letters of other scripts that look like Latin ones.
-LOOKALIKES = str.maketrans(dict(zip("аеорсухіјѕһԁԛԝкмтвнгαβεικνορτυχωɡıɩ", "aeopcyxijshdqwkmtbhrabeiknoptuxwgii")))
-_MARKUP = re.compile(r"<[^<>]{1,200}>|(?<=\])\([^()\s]*\)|https?://\S+")
-_WORD = re.compile(r"[^\W_]+")
+#: Letters of other scripts that look like Latin ones; first capitals that look like another letter than their small form.
+CAPITALS = str.maketrans(dict(zip("ΗΜΥΖΝСВНМТΡЅІЈҮӀԌᏴƖ", "hmyznсвнмтpsijylgbi")))
+LOOKALIKES = str.maketrans(dict(zip("аеорсухіјѕһԁԛԝкмтвнгαβεικνορτυχωɡıɩүѵԍոօսհցӏⅼʏᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢʙɢʜɪʟɴʀꜱɑ", "aeopcyxijshdqwkmtbhrabeiknoptuxwgiiyvgnouhgllyacdejkmoptuvwzbghilnrsa")))
+#: Characters that show nothing but are letters or signs.
+UNSEEN = dict.fromkeys(map(ord, "\u115f\u1160\u3164\uffa0\u2800"))
+#: Elements of HTML that stand inside a word or line; other tags part words.
+_INLINE = "a|abbr|b|bdi|bdo|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr"
+_BLOCK = "address|article|aside|blockquote|body|br|caption|center|dd|details|div|dl|dt|figcaption|figure|footer|h[1-6]|head|header|hr|html|img|input|li|main|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul|video"
+_TAG = re.compile(rf"</?(?:{_INLINE})(?:\s[^<>]*)?/?>|<!--.*?-->", re.I | re.S)
+_PARTING = re.compile(rf"</?(?:{_BLOCK})(?:\s[^<>]*)?/?>", re.I)
+_TARGET = re.compile(r"(?<=\])\([^()\s]*(?:\s+\"[^\"]*\")?\)|https?://[^\s<>()\[\]\"]+")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]")
+_INSIDE = re.compile(r"(?<=\w)(?:['’‘ʼ`´]|\*{1,3}|~~|\^)(?=\w)")
+_WORD, _LATIN = re.compile(r"[^\W_]+"), re.compile("[A-Za-z]")
 
 
 def canonical_words(text: str) -> list[str]:
-    """Words of a text without case, punctuation, markup, invisible and look-alike characters."""
+    """Words of a text without case, punctuation, markup, invisible and look-alike characters.
+
+    Only tags of HTML count as markup between angle brackets: what else stands there are words. Marks inside a word (an apostrophe,
+    stars around a part of it) don't part it.
+    """
     t = html.unescape(html.unescape(text)) if "&" in text else text
-    if "<" in t or "](" in t or "://" in t:
-        t = _MARKUP.sub(" ", t)
+    t = _CONTROL.sub("", t)
+    if not t.isascii():
+        t = "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Cc") or c.isspace()).translate(UNSEEN)
+        # accents are first joined to their letters; those left over are no part of any letter
+        t = "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+    if "<" in t:
+        t = _PARTING.sub(" ", _TAG.sub("", t))
+    if "](" in t or "://" in t:
+        t = _TARGET.sub(" ", t)
     if not t.isascii():
-        t = unicodedata.normalize("NFKC", "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Mn", "Cc") or c in "\n\t"))
-        t = t.lower().translate(LOOKALIKES)
-    return _WORD.findall(t.lower())
+        # only among Latin letters: words of another script mean the same in capitals
+        t = _WORD.sub(lambda m: m[0].translate(CAPITALS) if _LATIN.search(m[0]) else m[0], t).lower().translate(LOOKALIKES)
+    return _WORD.findall(_INSIDE.sub("", t.lower()))
 
 
 def _hash(words: list[str]) -> np.ndarray:
