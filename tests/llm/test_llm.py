@@ -486,3 +486,18 @@ def test_subjects_of_all_documents(spark):
     assert stats.where("kind = '=finance' and term = 'dividend'").agg({"n": "sum"}).first()[0] == 60
     seen = {r.term: r.n for r in stats.where("kind = 'term'").groupBy("term").sum("n").withColumnRenamed("sum(n)", "n").collect()}
     assert seen["quixplar"] == 8 and seen["dividend"] == 68 and stats.where("kind = 'doc'").agg({"n": "sum"}).first()[0] == 68
+
+
+def test_leaves_are_cut_from_all_documents(spark):
+    """A few documents about something of their own get a leaf, however few documents one task holds; all labels count."""
+    groups = [[a + c for c in "abcdefghijkl"] for a in ("alpha", "bravo", "delta", "gamma")]
+    rng = random.Random(4)
+    rows = [(g * 1000 + i, "the and of it is for " + " ".join(rng.sample(words, 8))) for g, words in enumerate(groups) for i in range((300, 300, 300, 14)[g])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, "food", "a") for k, _ in rows], "doc_id long, subject string, annotator string")
+    for most in (10_000, 200):
+        leaves, stats = subjects.grown(docs, labels, ["food"], docs=most)
+        at = [leaves.nearest("en", *leaves.vector("en", [subjects.terms(t.split())])[1:]) for _, t in rows]
+        of = [{l for l, (k, _) in zip(at, rows) if k // 1000 == g} for g in range(4)]
+        assert all(not of[a] & of[b] for a in range(4) for b in range(a)), (most, of)
+        assert stats.where("kind = 'label'").agg({"n": "sum"}).first()[0] == len(rows) == stats.where("kind = 'doc'").agg({"n": "sum"}).first()[0]
