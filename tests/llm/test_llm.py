@@ -361,6 +361,48 @@ def test_abuse_scores(spark, judge):
     assert len(abuse.train([], np.zeros((0, 3))).features) == 0 and len(abuse.train(["x"], np.zeros((1, 3))).features) == 0
 
 
+def sayings(n, seed, kinds=10):
+    """Texts, a seventh with one of many offences, each in few texts; 0.6 of these labelled, and as many other labels."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(150)]
+    texts, truth, labels = [], [], []
+    for _ in range(n):
+        lines = [" ".join(rng.choices(words, k=rng.randrange(4, 9))) for _ in range(rng.randrange(2, 7))]
+        c = rng.choice([0, 1, 2]) if rng.random() < 0.15 else -1
+        if c >= 0:
+            i = rng.randrange(kinds)
+            lines[rng.randrange(len(lines))] = f"bad{c}x{i} {rng.choice(words)} off{c}x{i}"
+        texts.append(". ".join(lines))
+        truth.append(c)
+        said = c if c >= 0 and rng.random() < 0.6 else rng.choice([0, 1, 2]) if rng.random() < 0.09 else -1
+        labels.append([float(said == k) for k in range(3)])
+    return texts, np.array(truth), np.array(labels)
+
+
+def test_rare_offences_are_learnt():
+    texts, _, labels = sayings(6_000, 1)
+    judge = abuse.train(texts, labels)
+    texts, truth, _ = sayings(3_000, 2)
+    p, _ = judge.texts(texts, abuse.Words())
+    got = np.where(p.max(axis=1) >= abuse.THRESHOLD, p.argmax(axis=1), -1)
+    both = ((got == truth) & (truth >= 0)).sum()
+    assert both > 0.75 * (truth >= 0).sum() and both > 0.95 * (got >= 0).sum()
+
+
+def test_unsure_judgement_is_corrected():
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random(20_000) < 0.1, 3, -6) + rng.normal(0, 1.5, 20_000)
+    true = 1 / (1 + np.exp(-x))
+    z = rng.random(20_000) < true
+    labels = np.where(z, rng.random(20_000) < 0.6, rng.random(20_000) < 0.04).astype(float)
+    judged = 1 / (1 + np.exp(-(x / 1.5 - 2)))
+    q, hit, stray = abuse.calibrate(judged, labels, 0.5, 0.1)
+    assert abs(hit - 0.6) < 0.1 and abs(stray - 0.04) < 0.01
+    assert abs(q[z].mean() - true[z].mean()) < 0.4 * abs(judged[z].mean() - true[z].mean())
+    for label in (0.0, 1.0):
+        assert np.isfinite(abuse.calibrate(np.full(5, 1e-6), np.full(5, label), 0.6, 1e-6)[0]).all()
+
+
 # --- 8
 def test_packing(spark):
     rng = random.Random(8)
